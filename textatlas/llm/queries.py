@@ -5,10 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textatlas.llm import mixing, quality_rules
+from textatlas.llm import decontaminate, line_dedup, mixing, quality_rules, simhash
 from textatlas.llm.common import remainder, table
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = quality_rules.trusted_sample(table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 4) == 2)
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), trusted)
@@ -18,9 +32,59 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_quality_rules": op4_quality_rules, "op5_mixing": op5_mixing}
+QUERIES = {"op2_decontaminate": op2_decontaminate, "op3_simhash": op3_simhash, "op6_line_dedup": op6_line_dedup, "op4_quality_rules": op4_quality_rules, "op5_mixing": op5_mixing}
 
 SQL = {
+    "op2_decontaminate": r"""
+WITH doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w, row_number() OVER () AS rid
+  FROM documents
+), item AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS k, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS gram
+  FROM item, unnest(range(1, greatest(2, len(w) - 8))) AS t(i)
+  WHERE len(w) > 0
+), places AS (
+  SELECT rid, k, i, array_to_string(w[i:i + k - 1], ' ') AS gram
+  FROM doc, (SELECT DISTINCT k FROM windows) AS ks, unnest(range(1, len(w) - k + 2)) AS t(i)
+), hits AS (
+  SELECT p.rid, p.k, p.i, x.item_id FROM places p JOIN windows x USING (k, gram)
+), words_hit AS (
+  SELECT rid, count(DISTINCT j) AS n_hit FROM hits, unnest(range(i, i + k)) AS t(j) GROUP BY rid
+), items_hit AS (
+  SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT rid, item_id FROM hits) GROUP BY rid
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN words_hit USING (rid) LEFT JOIN items_hit USING (rid)
+""",
+    "op6_line_dedup": r"""
+WITH doc AS (
+  SELECT doc_id, source, text, string_split(text, chr(10)) AS parts, row_number() OVER () AS rid FROM documents
+), lines AS (
+  SELECT rid, doc_id, source, text, i - 1 AS pos, regexp_replace(parts[i], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line
+  FROM doc, unnest(range(1, len(parts) + 1)) AS t(i)
+  WHERE regexp_matches(parts[i], '[^\x20\x09-\x0D]')
+), common AS (
+  SELECT line, min((doc_id IS NULL, doc_id, pos)) AS first_place FROM lines GROUP BY line HAVING count(DISTINCT source) >= 8
+), gone AS (
+  SELECT l.rid, l.pos FROM lines l JOIN common c USING (line) WHERE (doc_id IS NULL, doc_id, pos) <> first_place
+), kept AS (
+  SELECT d.rid, string_agg(parts[i], chr(10) ORDER BY i) AS text
+  FROM doc d, unnest(range(1, len(parts) + 1)) AS t(i)
+  WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.rid = d.rid AND g.pos = i - 1)
+  GROUP BY d.rid
+)
+SELECT doc_id, (SELECT count(*) FROM lines l WHERE l.rid = d.rid) AS n_lines, (SELECT count(*) FROM gone g WHERE g.rid = d.rid) AS n_removed,
+       CASE WHEN d.text IS NOT NULL THEN md5(coalesce(k.text, '')) END AS text_md5
+FROM doc d LEFT JOIN kept k USING (rid)
+""",
     "op5_mixing": r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
