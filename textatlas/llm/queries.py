@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textatlas.llm import decontaminate, line_dedup, mixing, quality_rules, simhash
+from textatlas.llm import decontaminate, language_id, line_dedup, mixing, pu_quality, quality_rules, simhash
 from textatlas.llm.common import remainder, table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(table(spark, sf_dir, "documents"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -32,7 +36,22 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op3_simhash": op3_simhash, "op6_line_dedup": op6_line_dedup, "op4_quality_rules": op4_quality_rules, "op5_mixing": op5_mixing}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_id,
+        op2_decontaminate,
+        op3_simhash,
+        op4_quality_rules,
+        op5_mixing,
+        op6_line_dedup,
+        op10_quality_classifier,
+    )
+}
 
 SQL = {
     "op2_decontaminate": r"""
