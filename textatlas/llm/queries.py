@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textatlas.llm import decontaminate, language_id, line_dedup, mixing, pu_quality, quality_rules, simhash
+from textatlas.llm import decontaminate, language_id, line_dedup, mixing, pu_quality, quality_rules, simhash, toxicity
 from textatlas.llm.common import remainder, table
 
 
@@ -36,6 +36,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,6 +53,7 @@ QUERIES = {
         op4_quality_rules,
         op5_mixing,
         op6_line_dedup,
+        op7_toxicity,
         op10_quality_classifier,
     )
 }
