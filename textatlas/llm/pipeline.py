@@ -1,23 +1,58 @@
-"""Stages of the corpus pipeline."""
+"""The corpus pipeline: each stage takes (spark, docs, sf_dir) and works on all that the stage before kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textatlas.llm import mixing
-from textatlas.llm.common import staged, table
+from textatlas.llm import decontaminate, line_dedup, mixing, pu_quality, simhash
+from textatlas.llm.common import remainder, staged, table
+
+QUALITY_THRESHOLD = 0.7
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    model = pu_quality.train(docs, table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 4) != 2)
+    scored = pu_quality.score_quality(docs, model, "__score")
+    return scored.where(F.col("__score") >= QUALITY_THRESHOLD).select(docs.columns)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cross-site boilerplate lines go, but for their first place; n_chars follows the text."""
+    out = line_dedup.dedup_lines(docs).drop("n_lines", "n_removed")
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays."""
+    return simhash.dedup(docs).select(docs.columns)
+
+
+def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of the benchmark go."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; adds mix_epoch and mix_words."""
     return mixing.materialise(docs, mixing.mix(docs))
 
 
-STAGES = [("mixing", mix_stage)]
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("line dedup", line_stage),
+    ("SimHash near-dedup", near_dedup_stage),
+    ("benchmark decontamination", decontaminate_stage),
+    ("mixing sources to target weights", mix_stage),
+]
+
+#: The classifier and the fingerprints have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textatlas.llm import decontaminate, language_id, line_dedup, mixing, pu_quality, quality_rules, simhash, toxicity
+from textatlas.llm import chat, decontaminate, language_id, licenses, line_dedup, mixing, pu_quality, quality_rules, simhash, toxicity
 from textatlas.llm.common import remainder, table
 
 
@@ -40,6 +40,15 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    return found.withColumn("notices", F.array_join("notices", ","))
+
+
+def op9_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,11 +63,67 @@ QUERIES = {
         op5_mixing,
         op6_line_dedup,
         op7_toxicity,
+        op8_license_scan,
+        op9_chat_rotation,
         op10_quality_classifier,
     )
 }
 
+
+def _license_sql() -> str:
+    """DuckDB SQL of op8, with the known texts inlined."""
+
+    def normalised(x: str) -> str:
+        x = f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(13), 'abcdefghijklmnopqrstuvwxyz ')"
+        x = f"regexp_replace(chr(10) || {x}, '\\n[ \\t#*/;-]*{licenses.COPYRIGHT_LINE}', chr(10), 'g')"
+        x = f"' ' || regexp_replace({x}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', '  ', 'g') || ' '"
+        for a, b in licenses.SPELLINGS.items():
+            x = f"replace({x}, ' {a} ', ' {b} ')"
+        return f"trim(regexp_replace({x}, ' +', ' ', 'g'), ' ')"
+
+    rows = [(k, t) for k, ts in licenses.NOTICES.items() for t in ts] + list(licenses.TEXTS.items())
+    values = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in rows)
+    return rf"""
+WITH k AS (
+  SELECT digest, min(license_id) AS license_id
+  FROM (SELECT license_id, md5(nullif({normalised("text")}, '')) AS digest FROM (VALUES {values}) AS v(license_id, text)) GROUP BY digest
+), d AS (
+  SELECT row_number() OVER () AS rid, doc_id, text, md5(nullif({normalised("text")}, '')) AS text_digest FROM documents
+), n AS (
+  SELECT rid, string_agg(DISTINCT k.license_id, ',' ORDER BY k.license_id) AS notices, count(*) AS n_notices
+  FROM (SELECT rid, md5(nullif({normalised("line")}, '')) AS digest
+        FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d) WHERE length(line) <= 400) JOIN k USING (digest)
+  GROUP BY rid
+)
+SELECT d.doc_id, d.text_digest, k.license_id, coalesce(n.notices, '') AS notices, coalesce(n.n_notices, 0) AS n_notices
+FROM d LEFT JOIN k ON d.text_digest = k.digest LEFT JOIN n USING (rid)
+"""
+
+
 SQL = {
+    "op8_license_scan": _license_sql(),
+    "op9_chat_rotation": """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(nullif(role, ''), 'unknown') AS role, coalesce(text, '') AS text FROM conversations
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS place FROM t
+), people AS (
+  SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'
+), pieces AS (
+  SELECT p.conv_id, q.perspective, p.place // 1024 AS part, p.place, p.role = q.perspective AS own,
+         CASE WHEN p.role = q.perspective THEN '<|im_start|>assistant' || chr(10)
+              WHEN p.role = 'system' THEN '<|im_start|>system' || chr(10)
+              ELSE '<|im_start|>user name=' || p.role || chr(10) END AS head,
+         p.text || '<|im_end|>' || chr(10) AS body
+  FROM placed p JOIN people q ON p.conv_id IS NOT DISTINCT FROM q.conv_id
+), ends AS (
+  SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, part ORDER BY place) AS e FROM pieces
+)
+SELECT conv_id, perspective, CAST(part AS BIGINT) AS part, count(*) AS n_turns, count(*) FILTER (WHERE own) AS n_assistant,
+       string_agg(head || body, '' ORDER BY place) AS rendered,
+       coalesce(string_agg((e - length(body))::BIGINT || '-' || e::BIGINT, ',' ORDER BY place) FILTER (WHERE own), '') AS mask
+FROM ends GROUP BY conv_id, perspective, part
+""",
     "op2_decontaminate": r"""
 WITH doc AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
