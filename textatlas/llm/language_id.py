@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textatlas.llm.common import remainder
 
@@ -145,7 +146,7 @@ def fit(x: np.ndarray, langs: list[str]) -> Model:
     return Model(families, members, np.stack(family_w) if families else np.zeros((0, DIM + 1)), pair_w)
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def _features(texts: pd.Series) -> pd.Series:
     return pd.Series([features(t) for t in texts], dtype=object)
 

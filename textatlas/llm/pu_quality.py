@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textatlas.llm.common import remainder
 from textatlas.llm.sampling import sample_ids, texts_of
@@ -138,7 +139,7 @@ def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
     return float(np.clip(min(ratios), 0.05, 0.98))
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def _features(texts: pd.Series) -> pd.Series:
     return pd.Series([features(t) for t in texts], dtype=object)
 

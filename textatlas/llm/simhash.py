@@ -21,6 +21,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textatlas.llm.common import staged
 from textatlas.llm.components import connected_components
@@ -46,7 +47,7 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def fingerprint_udf(texts: pd.Series) -> pd.Series:
     return pd.Series([fingerprint(t) for t in texts], dtype="int64")
 
