@@ -146,9 +146,11 @@ def fit(x: np.ndarray, langs: list[str]) -> Model:
     return Model(families, members, np.stack(family_w) if families else np.zeros((0, DIM + 1)), pair_w)
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
+@F.pandas_udf(T.BinaryType())
 def _features(texts: pd.Series) -> pd.Series:
-    return pd.Series([features(t) for t in texts], dtype=object)
+    """float32 bytes: an eighth of what a list of numbers takes in the driver's Python."""
+    found = (features(t) for t in texts)
+    return pd.Series([None if v is None else v.tobytes() for v in found], dtype=object)
 
 
 def train(docs: DataFrame, allowed, most_per_lang: int = 400, most_chars: int = 20_000) -> Model:
@@ -164,8 +166,8 @@ def train(docs: DataFrame, allowed, most_per_lang: int = 400, most_chars: int =
     first = W.partitionBy("lang").orderBy("__key", "doc_id")
     taken = thin.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= most_per_lang)
     found = [(r[0], r[1]) for r in taken.select("lang", _features("text").alias("x")).collect() if r[1] is not None]
-    found.sort(key=lambda r: (r[0], r[1][:64]))
-    x = np.array([r[1] for r in found], dtype=np.float32).reshape(-1, DIM)
+    found.sort(key=lambda r: (r[0], bytes(r[1])))
+    x = np.frombuffer(b"".join(bytes(r[1]) for r in found), dtype=np.float32).reshape(-1, DIM)
     return fit(x, [r[0] for r in found])
 
 
