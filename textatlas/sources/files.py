@@ -54,7 +54,7 @@ def extract_zip(path: str, to: str | None = None) -> str:
 def scan_tree(spark: SparkSession, root: str, pattern: str = "*.txt", skip_dirs: tuple[str, ...] = ("test",)) -> DataFrame:
     """path, file, subject (the parent folder), text of the files below root whose names match; hidden files and those in a
     folder named in skip_dirs are left out."""
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("wholetext", True).text(root)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root, wholetext=True)
     path = F.replace(F.col("_metadata.file_path"), F.lit("%20"), F.lit(" "))
     out = raw.select(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))).alias("path"), F.col("value").alias("text"))
     parts = F.split("path", "/")
@@ -93,7 +93,7 @@ def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """lemma, lemma_ord, variant, variant_ord from a file of lines "lemma, variant, ..."; lines in their order."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     lines = whole.select(F.posexplode(F.split("value", r"\r?\n")).alias("at", "value"))
     return parse_dictionary(lines, "value", "at")
 
@@ -117,7 +117,7 @@ def write_records(records: DataFrame, path: str, by: str = "id") -> None:
 def read_json_map(spark: SparkSession, path: str) -> dict:
     """A small JSON object such as label overrides; {} where it is missing or invalid."""
     try:
-        rows = spark.read.option("wholetext", True).text(path).collect()
+        rows = spark.read.text(path, wholetext=True).collect()
         return json.loads(rows[0][0]) if rows else {}
     except ValueError:
         return {}
