@@ -17,6 +17,13 @@ PUNCTUATION = r"([\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E])"
 SYMBOL = r"[#*$%&|<>]"
 
 
+def _doubled(width: int):
+    """From hashes of windows of `width` words to those of twice as many."""
+    return lambda h: F.zip_with(
+        F.slice(h, 1, F.size(h) - width), F.slice(h, width + 1, F.size(h) - width), lambda a, b: F.xxhash64(a, b)
+    )
+
+
 def _n_repeat_words(words: Column, window: int) -> Column:
     """Words inside `window`-word windows (a power of two) that occur at least twice in the same array."""
 
@@ -53,11 +60,9 @@ def _n_repeat_words(words: Column, window: int) -> Column:
         )
 
     # window hashes by doubling: of 1, 2, 4 and 8 words
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    width = 1
+    hashes, width = F.transform(words, lambda w: F.xxhash64(w)), 1
     while width < window:
-        hashes = let(hashes, lambda h, k=width: F.zip_with(F.slice(h, 1, F.size(h) - k), F.slice(h, k + 1, F.size(h) - k), lambda a, b: F.xxhash64(a, b)))
-        width *= 2
+        hashes, width = let(hashes, _doubled(width)), 2 * width
     found = let(
         hashes,
         lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(covered(h)),
