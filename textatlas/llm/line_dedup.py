@@ -59,13 +59,14 @@ def boilerplate(places: DataFrame, min_sites: int = 8, near: float = 0.25, log2_
 
 
 def dedup_lines(
-    docs: DataFrame, site: str = "source", min_sites: int = 8, keep_first: bool = True, near: float = 0.25
+    docs: DataFrame, site: str = "source", min_sites: int = 8, keep_first: bool = True, near: float = 0.25, counts: bool = True
 ) -> DataFrame:
-    """docs with the boilerplate lines taken out of `text`, and n_lines, n_removed (long) added: a row per row.
+    """docs with the boilerplate lines taken out of `text`: a row per row. With counts, n_lines and n_removed (long) are added.
 
     Lines are the \\n-split parts that hold a word, alike if equal without outer blanks; blank lines stay. A null text
     stays null, with 0 lines. A text whose lines all go becomes empty. Rows alike in doc_id and text are one place, so
-    they keep or lose the same lines. Other columns pass through; docs' own n_lines and n_removed would be replaced."""
+    they keep or lose the same lines. Other columns pass through; with counts, docs' own n_lines and n_removed
+    are replaced."""
     places = staged(line_places(docs, site), "places")
     common = boilerplate(places, min_sites, near)
     gone = places.join(common.select(*LINE_KEY, "first"), LINE_KEY)
@@ -88,5 +89,7 @@ def dedup_lines(
     )
     n_lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line: line.rlike(NOT_BLANK))).cast("long")
     out = [F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else docs[c]
-           for c in docs.columns if c not in ("n_lines", "n_removed")]
+           for c in docs.columns if not counts or c not in ("n_lines", "n_removed")]
+    if not counts:
+        return both.select(*out)
     return both.select(*out, n_lines.alias("n_lines"), F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("n_removed"))

@@ -20,7 +20,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cross-site boilerplate lines go, but for their first place; n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs).drop("n_lines", "n_removed")
+    out = line_dedup.dedup_lines(docs, counts=False)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
