@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Words of administration and instruction.
@@ -41,10 +41,10 @@ def base_stopwords(language_words: list[str] | None = None) -> list[str]:
     return sorted({w.lower() for w in (*own, *ADMIN, *ARTIFACTS)})
 
 
-def stopword_table(spark: SparkSession, dictionary: DataFrame, base: list[str] | None = None) -> DataFrame:
+def stopword_table(dictionary: DataFrame, base: list[str] | None = None) -> DataFrame:
     """concept, word: the base list for every concept of dictionary(lemma, variant), and its own variants in lower case."""
-    words = spark.createDataFrame([(w,) for w in (base if base is not None else base_stopwords())], "word string")
+    words = F.array(*[F.lit(w) for w in (base if base is not None else base_stopwords())])
     concepts = dictionary.select(F.col("lemma").alias("concept")).distinct()
-    common = concepts.join(F.broadcast(words))
+    common = concepts.select("concept", F.explode(words).alias("word"))
     own = dictionary.select(F.col("lemma").alias("concept"), F.lower("variant").alias("word"))
     return common.union(own).distinct()

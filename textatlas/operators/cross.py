@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from textatlas.plans.sizing import with_every
+
 
 def concept_cooccurrence(topic_terms: DataFrame, concepts: DataFrame) -> DataFrame:
     """row_concept, col_concept, n: how many topics of the row concept hold the column concept's name as a term.
@@ -17,7 +19,7 @@ def concept_cooccurrence(topic_terms: DataFrame, concepts: DataFrame) -> DataFra
     terms = topic_terms.select(F.col("concept").alias("row_concept"), "topic", F.lower("term").alias("term")).distinct()
     found = terms.join(names, "term").groupBy("row_concept", "col_concept").agg(F.count_distinct("topic").alias("n"))
     every = concepts.select(F.col("concept").alias("row_concept")).distinct()
-    grid = every.join(names.select("col_concept"))  # concepts by concepts: the table itself
+    grid = with_every(every, names, "col_concept")
     return grid.join(found, ["row_concept", "col_concept"], "left").select("row_concept", "col_concept", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 

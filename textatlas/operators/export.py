@@ -44,18 +44,20 @@ def manifest_fragment(records: DataFrame, concept: str) -> DataFrame:
 
     The arrays are as long as there are labels."""
     head = records.agg(F.count("*").alias("n_docs"), F.count_if("is_outlier").alias("n_outliers"))
-    listed = counters(records, ["subject", "state", "topic"]).groupBy().agg(
-        *[F.array_sort(F.collect_list(F.when(F.col("dimension") == d, F.struct("rank", "label", "n")))).alias(d + "s") for d in ("subject", "state", "topic")]
+    listed = counters(records, ["subject", "state", "topic"])
+
+    def labels(dimension: str):
+        found = listed.where(F.col("dimension") == dimension).agg(F.array_sort(F.collect_list(F.struct("rank", "label", "n"))).alias("x"))
+        return found.select(F.transform("x", lambda x: F.struct(x["label"].alias("label"), x["n"].alias("n")))).scalar()
+
+    def box(column: str, dims: int):
+        found = bounding_box(records, column, dims).agg(F.array_sort(F.collect_list(F.struct("dim", "low", "high"))).alias("x"))
+        return found.select(F.transform("x", lambda x: F.array(x["low"], x["high"]))).scalar()
+
+    return head.select(
+        F.lit(concept).alias("concept"), "*", labels("subject").alias("subjects"), labels("state").alias("states"), labels("topic").alias("topics"),
+        box("umap_2d", 2).alias("bbox_2d"), box("umap_3d", 3).alias("bbox_3d"),
     )
-    tidy = [F.transform(c, lambda x: F.struct(x["label"].alias("label"), x["n"].alias("n"))).alias(c) for c in ("subjects", "states", "topics")]
-    boxes = [
-        bounding_box(records, c, k).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "low", "high"))), lambda x: F.array(x["low"], x["high"])).alias(n)).select(n)
-        for c, k, n in (("umap_2d", 2, "bbox_2d"), ("umap_3d", 3, "bbox_3d"))
-    ]
-    out = head.join(listed.select(*tidy))  # one row each
-    for b in boxes:
-        out = out.join(b)
-    return out.select(F.lit(concept).alias("concept"), "*")
 
 
 def grade_band_counts(records: DataFrame, order: list[str]) -> DataFrame:

@@ -16,6 +16,8 @@ from textatlas.plans.sizing import broadcast_if_small
 CONTEXT_WORDS = 30
 #: Variants that are matched with their case.
 CASE_SENSITIVE = ("Gen",)
+#: What may stand in cleaned text besides letters and blanks.
+_PUNCTUATION = ",.;:/-"
 
 
 def parse_dictionary(lines: DataFrame, line: str = "value", order: str | None = None) -> DataFrame:
@@ -41,9 +43,9 @@ def _is_case_sensitive(variant: Column) -> Column:
     return variant.isin(*CASE_SENSITIVE)
 
 
-def prepared(docs: DataFrame, text: str = "text", clean: bool = True, nfkc: bool = False) -> DataFrame:
+def prepared(docs: DataFrame, text: str = "text", nfkc: bool = False) -> DataFrame:
     """docs with `words`, the words of the normalised and cleaned text; without the text itself."""
-    value = clean_text(normalize_text(F.coalesce(F.col(text), F.lit("")), nfkc)) if clean else F.coalesce(F.col(text), F.lit(""))
+    value = clean_text(normalize_text(F.coalesce(F.col(text), F.lit("")), nfkc))
     return docs.select(*[c for c in docs.columns if c != text], F.array_remove(F.split(value, " "), "").alias("words"))
 
 
@@ -53,18 +55,19 @@ def find_terms(docs: DataFrame, dictionary: DataFrame, context: int = CONTEXT_WO
     A row for each occurrence of each dictionary row: repeated and case variants count again. Matching is on whole runs
     of word characters in any case, but for the case-sensitive variants. pos: the word's number from 0. Null and
     empty texts have no rows."""
-    base = prepared(docs, text, nfkc=nfkc)
+    base = prepared(docs, text, nfkc)
     keep = [c for c in base.columns if c != "words"]
     single = broadcast_if_small(
         dictionary.where(_is_one_run(F.col("variant"))).select(
             F.lower("variant").alias("__key"), "lemma", "lemma_ord", "variant", "variant_ord"
         )
     )
+    # no regular expression for each word: punctuation becomes one mark, and a split at a single mark is quick
     runs = F.flatten(
         F.transform(
             "words",
             lambda w, i: F.transform(
-                F.regexp_extract_all(w, F.lit(r"(?U)\w+"), F.lit(0)), lambda r: F.struct(i.alias("pos"), r.alias("run"))
+                F.split(F.translate(w, _PUNCTUATION, "\x01" * len(_PUNCTUATION)), "\x01"), lambda r: F.struct(i.alias("pos"), r.alias("run"))
             ),
         )
     )

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from textatlas.plans.sizing import with_every
+
 TOTAL = "Total"
 ALL = "Alle"
 
@@ -29,7 +31,7 @@ def crosstab(df: DataFrame, a: str, b: str, dedup: list[str] | None = None, tota
 
 def zero_filled(cells: DataFrame, a: str, b: str, value: str) -> DataFrame:
     """A row for every pair of the values of a and b that occur: missing cells are 0. For tables of categories."""
-    grid = cells.select(a).distinct().join(cells.select(b).distinct())  # categories by categories: the table itself
+    grid = with_every(cells.select(a).distinct(), cells, b)
     return grid.join(cells, [a, b], "left").select(a, b, F.coalesce(value, F.lit(0)).cast("long").alias(value))
 
 
@@ -107,7 +109,7 @@ def olap_matrix(
         return out.select(*[F.col(k) if k in keys else F.lit(total).alias(k) for k in ("a", "b")], "n_matches", "n_words")
 
     cells = level(["a", "b"])
-    grid = level(["a"]).select("a").join(level(["b"]).select("b"))  # categories by categories: the table itself
+    grid = with_every(level(["a"]).select("a"), pairs, "b")
     cells = grid.join(cells, ["a", "b"], "left").select("a", "b", F.coalesce("n_matches", F.lit(0)).alias("n_matches"), F.coalesce("n_words", F.lit(0)).alias("n_words"))
     out = cells.unionByName(level(["a"])).unionByName(level(["b"])).unionByName(
         level([]).select("a", "b", F.coalesce("n_matches", F.lit(0)).alias("n_matches"), F.coalesce("n_words", F.lit(0)).alias("n_words"))

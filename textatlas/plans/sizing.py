@@ -6,6 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def with_every(df: DataFrame, values: DataFrame, column: str) -> DataFrame:
+    """A row of df for each distinct non-null value of `column` in values, which has to be a list of categories: it is
+    one array, so that no join without a key is needed."""
+    return df.withColumn(column, F.explode(values.agg(F.array_sort(F.collect_set(column))).scalar()))
+
+
 def broadcast_if_small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
     """df with a broadcast hint if it has at most most_rows rows (counted up to that); else as it is, and joins shuffle."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

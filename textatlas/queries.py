@@ -434,7 +434,7 @@ def repaired_terms(spark, d):
 
 @query(f"SELECT concept, word FROM (SELECT DISTINCT lemma AS concept FROM (VALUES {DICT}) v(lemma, a, variant, b)) CROSS JOIN (VALUES {values(stopwords.base_stopwords())}) w(word) UNION SELECT lemma, lower(variant) FROM (VALUES {DICT}) v(lemma, a, variant, b)")
 def stopword_tiers(spark, d):
-    return stopwords.stopword_table(spark, dictionary(spark))
+    return stopwords.stopword_table(dictionary(spark))
 
 
 @query("SELECT s AS lemma, 0 AS lemma_ord, trim(x) AS variant, CAST(row_number() OVER (PARTITION BY s ORDER BY i) - 1 AS INTEGER) AS variant_ord FROM (VALUES ('Gen', ['Gen', 'Gene', 'Gens']), ('Kultur', ['Kultur', 'Kultur'])) v(s, l), unnest(l) WITH ORDINALITY AS t(x, i)")
