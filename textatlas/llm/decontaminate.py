@@ -125,34 +125,35 @@ def _searched(items: list[tuple], window: int):
     return search
 
 
-def item_shards(benchmark: DataFrame, shard_chars: int) -> list[list[tuple]]:
-    """The items (item_id, text) in shards of about `shard_chars` characters: a small benchmark is one shard."""
+def item_shards(benchmark: DataFrame, shard_chars: int) -> tuple[DataFrame, int]:
+    """Items (item_id, text, shard) and the number of shards of about `shard_chars` characters."""
     total = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-total // shard_chars) or 1
-    if n == 1:
-        return [[tuple(r) for r in benchmark.select("item_id", "text").collect()]]
-    dealt = staged(benchmark.select("item_id", "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).alias("shard")), "items")
-    return [[tuple(r) for r in dealt.where(F.col("shard") == i).select("item_id", "text").collect()] for i in range(n)]
+    dealt = benchmark.select("item_id", "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).alias("shard"))
+    return (staged(dealt, "items") if n > 1 else dealt), n
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_chars: int = 16_000_000) -> DataFrame:
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_chars: int = 2_000_000) -> DataFrame:
     """docs with a column `found` (FOUND): the text's words, the spans of words inside occurrences, and their items' ids.
 
-    Items are sent to the executors in shards of about `shard_chars` characters, one search for each shard over the same
-    rows; nothing is shuffled. Null and wordless texts and items have no windows. Items alike in id are one item, a null
-    id is the empty text. Other columns pass through; one named `found` is replaced."""
+    Items go to the driver and on to the executors in shards of about `shard_chars` characters, one at a time; a benchmark
+    of several shards is one search for each over the same rows, each written before the next. Nothing is shuffled.
+    Null and wordless texts and items have no windows. Items alike in id are one item, a null id is the empty text.
+    Other columns pass through; one named `found` is replaced."""
     names = [c for c in docs.columns if c != "found"]
-    shards = item_shards(benchmark, shard_chars)
-    parts = [_searched(items, window)("text") for items in shards]
-    if len(parts) == 1:
-        return docs.select(*names, parts[0].alias("found"))
-    out = docs.select(*names, *[p.alias(f"__found{i}") for i, p in enumerate(parts)])
+    dealt, n = item_shards(benchmark, shard_chars)
+    items = lambda i: [tuple(r) for r in dealt.where(F.col("shard") == i).select("item_id", "text").collect()]
+    if n == 1:
+        return docs.select(*names, _searched(items(0), window)("text").alias("found"))
+    out = docs.select(*names)
+    for i in range(n):
+        out = staged(out.withColumn(f"__found{i}", _searched(items(i), window)("text")), "found")
     merge = F.pandas_udf(
         lambda spans: spans.map(lambda x: [{"a": a, "b": b} for a, b in merged([(s["a"], s["b"]) for s in x])]),
         "array<struct<a: int, b: int>>",
     )
-    spans = merge(F.concat(*[F.col(f"__found{i}.spans") for i in range(len(parts))]))
-    ids = F.array_sort(F.array_distinct(F.concat(*[F.col(f"__found{i}.item_ids") for i in range(len(parts))])))
+    spans = merge(F.concat(*[F.col(f"__found{i}.spans") for i in range(n)]))
+    ids = F.array_sort(F.array_distinct(F.concat(*[F.col(f"__found{i}.item_ids") for i in range(n)])))
     return out.select(*names, F.struct(F.col("__found0.n_words").alias("n_words"), spans.alias("spans"), ids.alias("item_ids")).alias("found"))
 
 
