@@ -140,6 +140,9 @@ required.
 3. This notice may not be removed or altered from any source distribution.""",
 }
 
+#: What every notice holds one of.
+NOTICE_WORDS = r"(?i)licen[cs]e|SPDX"
+
 # A line that names a holder or reserves rights; the bodies of licences speak of "copyright" inside their lines.
 COPYRIGHT_LINE = r"(?:copyright\b|\(c\) |©|all rights reserved)[^\n]*"
 
@@ -175,11 +178,11 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None, longest_line:
     digest, else null. notices: distinct licences whose notice is a line of the text, sorted; n_notices: such lines. Lines
     of over longest_line characters are longer than any notice and aren't digested. Repeated rows each get their row;
     other columns are ignored."""
-    known = known if known is not None else known_licenses(docs.sparkSession)
+    own = known is None
+    known = known_licenses(docs.sparkSession) if own else known
     notice = F.filter(F.split("text", "\n"), lambda x: (F.length(x) <= longest_line) & x.rlike(NOT_BLANK))
-    # the licences' own words bound what can be one: a line without any of them is not looked up
-    hint = r"(?i)licen[cs]e|public domain|\bGPL\b|CC0|CC BY|permission|redistribution|SPDX"
-    lines = F.filter(notice, lambda x: x.rlike(hint))
+    # every notice above holds one of these words, so other lines needn't be looked up
+    lines = F.filter(notice, lambda x: x.rlike(NOTICE_WORDS)) if own else notice
     # the known digests as one map: a table of a fixed size
     table = known.agg(F.map_from_entries(F.collect_list(F.struct("digest", "license_id"))).alias("m")).scalar()
     out = docs.select("doc_id", digest(F.col("text")).alias("text_digest"), F.transform(lines, lambda x: digest(x)).alias("line_digests"), table.alias("table"))

@@ -67,6 +67,13 @@ def features(text: str | None) -> np.ndarray:
     return out
 
 
+def standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray, words: float = 8.0) -> np.ndarray:
+    """Features less their mean over their scale, drawn towards 0 for short texts, as if `words` average words were added:
+    shares in a text of a few words say little."""
+    n = np.expm1(8 * x[:, 5:6])
+    return (x - mean) / scale * (n / (n + words))
+
+
 @dataclass
 class Model:
     mean: np.ndarray
@@ -78,7 +85,7 @@ class Model:
     prior: float
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        h = np.tanh(((x - self.mean) / self.scale) @ self.w1 + self.b1)
+        h = np.tanh(standard(x, self.mean, self.scale) @ self.w1 + self.b1)
         return h @ self.w2 + self.b2
 
     def scores(self, x: np.ndarray) -> np.ndarray:
@@ -96,7 +103,7 @@ def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, hidden: int = 16, e
     rng = np.random.default_rng(seed)
     every = np.concatenate([pos, unl])
     mean, scale = every.mean(axis=0), every.std(axis=0) + 0.05
-    p_all, u_all = (pos - mean) / scale, (unl - mean) / scale
+    p_all, u_all = standard(pos, mean, scale), standard(unl, mean, scale)
     d = pos.shape[1]
     w = [rng.normal(0, 1 / np.sqrt(d), (d, hidden)), np.zeros(hidden), rng.normal(0, 0.3, hidden), np.zeros(1)]
     m, v, t = [np.zeros_like(a) for a in w], [np.zeros_like(a) for a in w], 0
@@ -131,12 +138,15 @@ def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, hidden: int = 16, e
 
 def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
     """Class prior from positives and unlabelled rows alone: a first classifier tells them apart, and the least ratio
-    of the unlabelled to the positive share above any of its score quantiles bounds the prior (best bin)."""
+    of the unlabelled to the positive share above any of its score quantiles bounds the prior (best bin estimation: the
+    quantile is the one of the least upper confidence bound, else the least of many noisy ratios would be too low)."""
     half = lambda x, k: x[k::2]
     first = fit_nnpu(half(pos, 0), half(unl, 0), 0.5, epochs=10)
     sp, su = first.logits(half(pos, 1)), first.logits(half(unl, 1))
-    ratios = [(su >= t).mean() / max((sp >= t).mean(), 1e-9) for t in np.quantile(sp, np.linspace(0.02, 0.7, 35))]
-    return float(np.clip(min(ratios), 0.05, 0.98))
+    noise = np.sqrt(np.log(40) / (2 * len(su))) + np.sqrt(np.log(40) / (2 * len(sp)))
+    shares = [((su >= t).mean(), max((sp >= t).mean(), 1e-9)) for t in np.quantile(sp, np.linspace(0.02, 0.7, 35))]
+    best = min((u + noise) / q for u, q in shares)
+    return float(np.clip(next(u / q for u, q in shares if (u + noise) / q == best), 0.05, 0.98))
 
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))

@@ -13,6 +13,7 @@ def sample_ids(rows: DataFrame, most: int, salt: str) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, ids: DataFrame, most_chars: int) -> DataFrame:
-    """The rows (doc_id, text, columns of ids) of docs whose id is in ids, a bounded table, and whose text is no longer than most_chars."""
+    """The columns of ids, a bounded table, and text: of each id in docs whose text is no longer than most_chars. Of rows
+    alike in doc_id the least text counts, so the result is no longer than ids."""
     short = docs.where(F.col("text").isNotNull() & (F.length("text") <= most_chars)).select("doc_id", "text")
-    return short.join(F.broadcast(ids), "doc_id")
+    return short.join(F.broadcast(ids), "doc_id").groupBy(*ids.columns).agg(F.min("text").alias("text"))
