@@ -138,4 +138,5 @@ def test_prior_is_near_the_truth():
     d = p.DENSE + p.SHAPES
     pos, unl = rng.normal(0, 1, (1500, d)), rng.normal(0, 1, (2500, d))
     unl[:750, :5] += 4
+    pos[:, 5] = unl[:, 5] = 0.6  # texts of some hundred words
     assert p.estimate_prior(pos, unl) == pytest.approx(0.7, abs=0.06)
