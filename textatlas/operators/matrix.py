@@ -87,9 +87,11 @@ def olap_matrix(
     value: the count, or matches per per_words words, rounded to 2 places. The words are those of the distinct files
     with a match in the cell, row, column or table, so totals are computed anew and not summed. filters: column ->
     value, "Alle" filters nothing. word_counts(file, word_count): with repeated files the largest counts, missing files
-    count 0 words. Null and empty values of a or b make no row or column, but count in the totals they belong to.
+    count 0 words. Null and empty values of a or b make no row or column, but count in the totals they belong to. Without
+    a match there are no rows.
 
-    Four aggregations, each of distinct (group, file) pairs, so that no task sees more than partial sums of a group."""
+    One pass: each (a, b, file) pair goes to its cell, row, column and the table, and distinct files are summed there, so
+    that no task sees more than partial sums of a group."""
     rows = matches
     for column, value in (filters or {}).items():
         if value != ALL:
@@ -100,20 +102,15 @@ def olap_matrix(
     )
     pairs = pairs.join(words, file, "left").select("a", "b", F.col(file).alias("f"), "n", F.coalesce("__words", F.lit(0)).alias("w"))
 
-    def level(keys: list[str]) -> DataFrame:
-        some = pairs
-        for k in keys:
-            some = some.where(F.col(k).isNotNull())
-        per_file = some.groupBy(*keys, "f").agg(F.sum("n").alias("n"), F.max("w").alias("w"))
-        out = per_file.groupBy(*keys).agg(F.sum("n").alias("n_matches"), F.sum("w").alias("n_words"))
-        return out.select(*[F.col(k) if k in keys else F.lit(total).alias(k) for k in ("a", "b")], "n_matches", "n_words")
-
-    cells = level(["a", "b"])
-    grid = with_every(level(["a"]).select("a"), pairs, "b")
-    cells = grid.join(cells, ["a", "b"], "left").select("a", "b", F.coalesce("n_matches", F.lit(0)).alias("n_matches"), F.coalesce("n_words", F.lit(0)).alias("n_words"))
-    out = cells.unionByName(level(["a"])).unionByName(level(["b"])).unionByName(
-        level([]).select("a", "b", F.coalesce("n_matches", F.lit(0)).alias("n_matches"), F.coalesce("n_words", F.lit(0)).alias("n_words"))
-    )
+    cell = lambda x, y: F.struct(x.alias("a"), y.alias("b"))
+    every = F.lit(total)
+    sets = F.array(cell(F.col("a"), F.col("b")), cell(F.col("a"), every), cell(every, F.col("b")), cell(every, every))
+    placed = pairs.select(F.explode(sets).alias("s"), "f", "n", "w").select("s.a", "s.b", "f", "n", "w")
+    per_file = placed.where(F.col("a").isNotNull() & F.col("b").isNotNull()).groupBy("a", "b", "f").agg(F.sum("n").alias("n"), F.max("w").alias("w"))
+    # the table itself, read three times below: kept, so that the search is not run again
+    cells = per_file.groupBy("a", "b").agg(F.sum("n").alias("n_matches"), F.sum("w").alias("n_words")).persist()
+    grid = with_every(cells.select("a").distinct(), cells, "b")
+    out = grid.join(cells, ["a", "b"], "left").select("a", "b", F.coalesce("n_matches", F.lit(0)).alias("n_matches"), F.coalesce("n_words", F.lit(0)).alias("n_words"))
     value = F.col("n_matches") / F.greatest("n_words", F.lit(1)) * per_words if relative else F.col("n_matches").cast("double")
     return out.select(
         F.col("a").alias(a), F.col("b").alias(b if b != a else b + "_2"), F.col("n_matches").cast("long").alias("n_matches"),

@@ -12,6 +12,13 @@ def with_every(df: DataFrame, values: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.explode(values.agg(F.array_sort(F.collect_set(column))).scalar()))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, if it has fewer: a small table that is one split would else keep one
+    core busy. A large table has more splits than cores and stays as it is, unshuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def broadcast_if_small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
     """df with a broadcast hint if it has at most most_rows rows (counted up to that); else as it is, and joins shuffle."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

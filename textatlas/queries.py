@@ -16,6 +16,7 @@ from textatlas.functions import colors, metadata, stopwords, text
 from textatlas.operators import cross, export, kwic, matrix, quality
 from textatlas.operators.topics import clusters, dtm, lda, scores
 from textatlas.plans import pipelines
+from textatlas.plans.sizing import spread
 from textatlas.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,7 +45,8 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name == "documents" else df  # only texts are long to work on
 
 
 def scratch(spark: SparkSession) -> str:
