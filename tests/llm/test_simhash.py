@@ -129,6 +129,13 @@ def test_dedup_keeps_one_of_a_group(make_docs, odd_rows):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_dedup_decides_by_row(make_docs):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(3, a), (7, a), (7, b), (None, a), (None, c), (None, d), (None, d), (9, c), (5, "x y z"), (5, "p q r"), (5, "p q r")]
+    got = [(r.doc_id, r.text) for r in s.dedup(make_docs(rows, clashing=True)).collect()]
+    assert sorted(got, key=repr) == sorted([(3, a), (7, b), (9, c), (None, d), (5, "x y z"), (5, "p q r")], key=repr)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 103), (103, 100), (7, 7), (None, 3), (200, 201)] + [(500, 500 + i) for i in range(1, 60)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}

@@ -201,13 +201,30 @@ def simhash_groups(docs: DataFrame, radius: int = 3, blocks: int = 5, shard_rows
     )
 
 
-def dedup(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of docs without those whose group holds a smaller doc_id; of rows alike in doc_id, one stays.
-
-    Rows without a doc_id stay only if no document of their group has one."""
-    groups = simhash_groups(docs, **parameters)
-    doomed = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    doomed = doomed.select(F.col("doc_id").alias("__id")).distinct()
-    left = docs.join(doomed, docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
-    with_id = left.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return with_id.unionByName(left.where("doc_id is null"))
+def row_key(docs: DataFrame) -> Column:
+    """MD5 of id and text: rows with the same one are copies of one another. Never null."""
+    doc_id, text = docs["doc_id"].cast("string"), docs["text"]
+    told = [F.coalesce(F.concat(F.length(doc_id).cast("string"), F.lit(":"), doc_id), F.lit("-")), F.coalesce(F.concat(F.lit("t"), text), F.lit("-"))]
+    return F.md5(F.concat(*told))
+
+
+def first_row() -> Column:
+    """Of rows (doc_id, key), the key of the one with the smallest id (null last), ties by key."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key"))
+
+
+def keep_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """One row of docs for each of the distinct keys(key)."""
+    keyed = docs.withColumn("__key", row_key(docs))
+    return keyed.join(keys.select(F.col("key").alias("__key")), "__key", "left_semi").dropDuplicates(["__key"]).select(docs.columns)
+
+
+def dedup(docs: DataFrame, radius: int = 3, blocks: int = 5, shard_rows: int = 4096) -> DataFrame:
+    """One row of docs for each component of simhash_groups: the one with the smallest doc_id, null last.
+
+    It is told by id and text, so a text stays that shares its id, or the lack of one, with rows of other components."""
+    fps = staged(docs.select("doc_id", row_key(docs).alias("key"), fingerprint_udf("text").alias("fp")), "fingerprints")
+    nodes = staged(fps.groupBy("fp").agg(first_row().alias("first")), "nodes")
+    roots = connected_components(links(nodes, radius, blocks, shard_rows))
+    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("first", F.coalesce("root", "fp").alias("root"))
+    return keep_rows(docs, named.groupBy("root").agg(F.min("first").alias("first")).select("first.key"))
