@@ -80,3 +80,18 @@ def test_materialised_mix(make_docs, odd_rows):
     taken = {r.doc_id: r for r in mixed.where("taken > 0").collect()}
     assert {r.doc_id: r.n for r in got} == {r.doc_id: r.k for r in got} == {i: r.taken for i, r in taken.items()}
     assert all(r.c == -(-taken[r.doc_id].taken // taken[r.doc_id].size) for r in got)
+
+
+def test_materialised_mix_keeps_null_and_repeated_ids(make_docs):
+    rows = [(None, f"n{i} " * (3 + i % 2), "en", "ab"[i % 3 == 0]) for i in range(12)] + [(7, f"r{i} x y", "en", "a") for i in range(3)]
+    rows += [(8, "p q r s", "en", None)] * 2 + [(9, "one two", "en", "b"), (None, None, "en", "a"), (None, "", "en", None)]
+    docs = make_docs(rows, clashing=True)
+    mixed = m.mix(docs)
+    out = m.materialise(docs, mixed).collect()
+    goal = {r.source: int(r.target) for r in mixed.collect()}
+    for s, n in goal.items():
+        own = [r for r in out if r.source == s]
+        assert sum(r.mix_words for r in own) == sum(size_of(r.text) for r in own) == n
+    first = [r for r in out if r.mix_epoch == 0]
+    assert len(first) == mixed.where("taken > 0").count()
+    assert {r.text for r in first if r.doc_id == 7} <= {f"r{i} x y" for i in range(3)}

@@ -97,18 +97,26 @@ def first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, n), "")
 
 
+def _alike() -> Column:
+    """MD5 of size, id and source; rows with the same one are interchangeable in the mix. Never null."""
+    doc_id, source = F.col("doc_id").cast("string"), F.col("source")
+    parts = [F.col("__size").cast("string"), F.lit("|"), F.coalesce(F.concat(F.length(doc_id).cast("string"), F.lit(":"), doc_id), F.lit("-")), F.lit("|")]
+    return F.md5(F.concat(*parts, F.coalesce(F.concat(F.lit("s"), source), F.lit("-"))))
+
+
 def materialise(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The mix itself: docs' columns and mix_epoch, mix_words; a document once for every epoch that takes words of it.
 
-    The copy at which a budget ends is cut after its last taken word. doc_id must be unique; rows without one are left
-    out, as nothing tells them apart."""
-    taken = mixed.where((F.col("taken") > 0) & F.col("doc_id").isNotNull()).select(
-        F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("taken").alias("__taken")
-    )
-    out = docs.join(taken, docs["doc_id"] == F.col("__id"))
+    The copy at which a budget ends is cut after its last taken word. Rows of docs and of mixed that are alike in doc_id
+    (which may be null), source and size are numbered and meet one to one: of docs' by text, of mixed's by words taken."""
+    ours = docs.withColumn("__size", n_words(F.col("text"))).withColumn("__alike", _alike())
+    ours = ours.withColumn("__n", F.row_number().over(W.partitionBy("__alike").orderBy(F.md5(F.col("text")))))
+    taken = mixed.withColumn("__size", F.col("size")).select(_alike().alias("__alike"), F.col("taken").alias("__taken"))
+    taken = taken.withColumn("__n", F.row_number().over(W.partitionBy("__alike").orderBy(F.desc("__taken"))))
+    out = ours.join(taken.where("__taken > 0"), ["__alike", "__n"])
     last = F.ceil(F.col("__taken") / F.col("__size")).cast("int") - 1
     out = out.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), last)))
     words = F.least(F.col("__size"), F.col("__taken") - F.col("__size") * F.col("mix_epoch")).cast("int")
     out = out.withColumn("mix_words", words)
     cut = F.when(F.col("mix_words") < F.col("__size"), first_words(F.col("text"), F.col("mix_words"))).otherwise(F.col("text"))
-    return out.select(*[cut.alias("text") if c == "text" else docs[c] for c in docs.columns], "mix_epoch", "mix_words")
+    return out.select(*[cut.alias("text") if c == "text" else F.col(c) for c in docs.columns], "mix_epoch", "mix_words")
