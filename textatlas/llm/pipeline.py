@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textatlas.llm import decontaminate, line_dedup, mixing, pu_quality, simhash
+from textatlas.llm import decontaminate, line_dedup, mixing, near_dedup, pu_quality
 from textatlas.llm.common import remainder, staged, table
 
 QUALITY_THRESHOLD = 0.7
@@ -25,8 +25,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
-    return simhash.dedup(docs).select(docs.columns)
+    """One document of each group of similarity 0.8 on five-word shingles stays."""
+    return near_dedup.dedup(docs).select(docs.columns)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
