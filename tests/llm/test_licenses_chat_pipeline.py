@@ -49,6 +49,13 @@ def test_notices(make_docs, odd_rows):
     assert licenses.scan_licenses(make_docs([])).count() == 0
 
 
+def test_long_lines_of_given_licences(spark, make_docs):
+    body = " ".join(f"term{i}" for i in range(120))
+    known = licenses.known_licenses(spark, {"Own": [body]})
+    r = licenses.scan_licenses(make_docs([(1, f"Hello.\n# {body}\nMore.")]), known).first()
+    assert len(body) > 400 and r.notices == ["Own"] and r.n_notices == 1
+
+
 def turns(spark, rows):
     return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("part", F.lit("x"))
 

@@ -176,11 +176,12 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None, longest_line:
 
     text_digest: of the entire text, null for null texts and texts without words. license_id: the known licence with that
     digest, else null. notices: distinct licences whose notice is a line of the text, sorted; n_notices: such lines. Lines
-    of over longest_line characters are longer than any notice and aren't digested. Repeated rows each get their row;
+    of over longest_line characters aren't digested, unless `known` is passed. Repeated rows each get their row;
     other columns are ignored."""
     own = known is None
     known = known_licenses(docs.sparkSession) if own else known
-    notice = F.filter(F.split("text", "\n"), lambda x: (F.length(x) <= longest_line) & x.rlike(NOT_BLANK))
+    within = lambda x: (F.length(x) <= longest_line) & x.rlike(NOT_BLANK) if own else x.rlike(NOT_BLANK)
+    notice = F.filter(F.split("text", "\n"), within)
     # every notice above holds one of these words, so other lines needn't be looked up
     lines = F.filter(notice, lambda x: x.rlike(NOTICE_WORDS)) if own else notice
     # the known digests as one map: a table of a fixed size
