@@ -803,7 +803,7 @@ def method_agreement(spark, d):
 @query()
 def lda_topics(spark, d):
     docs = table(spark, d, "documents").select("doc_id", text.lda_words(F.col("text"), STOP).alias("tokens"))
-    fitted = lda.fit_lda(docs, "doc_id", "tokens", 5, vocabulary=5000, epochs=2)
+    fitted = lda.fit_lda(docs, "doc_id", "tokens", 5, vocabulary=5000)
     return lda.topic_summary(fitted.topic_terms(), fitted.doc_topics(), "doc_id")
 
 
