@@ -95,6 +95,30 @@ def test_toxicity_finds_one_word_in_a_long_text(spark, make_docs):
     assert b > 0.7 > a
 
 
+@pytest.mark.parametrize("rare", [0, 1])
+def test_few_of_a_class_at_any_place(rare):
+    rnd = random.Random(3)
+    texts = [" ".join(plain(rnd, 20)) for _ in range(12)]
+    for places in [(i,) for i in range(12)] + [(i, i + 1) for i in range(11)] + [(i, i + 1, i + 2) for i in range(10)]:
+        y = np.array([rare if i in places else 1 - rare for i in range(12)])
+        z = x.fit(texts, y, epochs=4, per_epoch=8, batch=8).scores(texts)
+        assert ((z >= 0) & (z <= 1)).all()
+
+
+def test_calibration_fold_leaves_some_of_each_class():
+    for n in (1, 9, 10, 50):
+        y = np.array([1] * n + [0] * 200)
+        fold = x.calibration_fold(y, np.random.default_rng(0))
+        assert fold[:n].sum() == (n // 5 if n >= 10 else 0) and fold[n:].sum() == 40
+
+
+def test_extract_covers_long_texts():
+    words = [f"w{i}" for i in range(5000)]
+    got = x.extract(" ".join(words), 800, 8).split()
+    assert len(got) == 800 and got[0] == "w0" and got[-1] == "w4999"
+    assert x.extract("A b", 800) == "a b" and x.extract(" ", 8) is None and x.extract(None, 8) is None
+
+
 @pytest.mark.parametrize("labels", [[], [(1, 1, 0)], [(None, None, None)]])
 def test_little_to_learn_from(spark, make_docs, labels):
     docs, marks = make_docs([(1, "a b c"), (2, None)]), labels_of(spark, labels) if labels else spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -133,10 +157,54 @@ def test_negative_labels_are_not_used(spark, make_docs):
     assert [r.score for r in a] == [r.score for r in b]
 
 
-def test_prior_is_near_the_truth():
-    rng = np.random.default_rng(0)
+def normal_rows(n_pos=1500, n_unl=2500, bad=750, seed=0):
+    rng = np.random.default_rng(seed)
     d = p.DENSE + p.SHAPES
-    pos, unl = rng.normal(0, 1, (1500, d)), rng.normal(0, 1, (2500, d))
-    unl[:750, :5] += 4
+    pos, unl = rng.normal(0, 1, (n_pos, d)), rng.normal(0, 1, (n_unl, d))
+    unl[:bad, :5] += 4
     pos[:, 5] = unl[:, 5] = 0.6  # texts of some hundred words
-    assert p.estimate_prior(pos, unl) == pytest.approx(0.7, abs=0.06)
+    return pos, unl
+
+
+def test_prior_is_near_the_truth():
+    pos, unl = normal_rows()
+    mean, scale = pos.mean(axis=0), pos.std(axis=0) + 0.05
+    z = lambda x: p.second_moments(p.inputs(x, mean, scale))
+    first = p.Model(mean, scale, p.fit_nnpu(z(pos[::2]), z(unl[::2]), 0.5), 0.5)
+    scores, others = first.logits(pos[1::2]), first.logits(unl[1::2])
+    at = np.quantile(scores, np.linspace(0.02, 0.7, 35))
+    above = np.array([(others >= t).sum() for t in at])
+    assert p.prior_of(scores, above, len(others), at) == pytest.approx(0.7, abs=0.06)
+
+
+@pytest.mark.parametrize("n_pos, n_unl, prior", [(1500, 2500, 0.3), (60, 80, 0.7)])
+def test_the_risk_is_least(n_pos, n_unl, prior):
+    """Against the risk by its definition, row by row; the few rows make the unbiased estimate of the negative part fall below 0."""
+    pos, unl = normal_rows(n_pos, n_unl, n_unl // 3)
+    mean, scale = pos.mean(axis=0), pos.std(axis=0) + 0.05
+    zp, zu = p.inputs(pos, mean, scale), p.inputs(unl, mean, scale)
+    ridge = 1e-2
+
+    def whole(w):
+        loss = lambda z, y: np.mean((1 - y * (z @ w)) ** 2) / 4
+        return prior * loss(zp, 1) + max(0.0, loss(zu, -1) - prior * loss(zp, -1)) + ridge * w @ w / 4
+
+    w = p.fit_nnpu(p.second_moments(zp), p.second_moments(zu), prior, ridge)
+    unbiased = np.linalg.solve(p.second_moments(zu) + ridge * np.eye(len(w)), 2 * prior * zp.mean(axis=0) - zu.mean(axis=0))
+    assert whole(w) <= whole(unbiased) + 1e-9
+    assert np.allclose(w, unbiased) == (n_pos == 1500)
+    rng = np.random.default_rng(1)
+    for size in (1e-1, 1e-2, 1e-3):
+        assert all(whole(w + size * rng.normal(size=len(w)) / np.sqrt(len(w))) >= whole(w) - 1e-7 for _ in range(50))
+
+
+def test_moments_are_of_every_unlabelled_row(spark):
+    x = np.random.default_rng(0).normal(0, 1, (5000, p.DENSE + p.SHAPES)).astype(np.float32)
+    rows = spark.createDataFrame([(i % 2, x[i].tobytes()) for i in range(5000)], "half int, x binary").repartition(7)
+    mean, scale = x.mean(axis=0), x.std(axis=0) + 0.05
+    got = p.unlabelled_moments(rows, mean, scale)
+    z = p.inputs(x.astype(np.float64), mean, scale)
+    assert np.allclose(got[0], z[::2].T @ z[::2]) and np.allclose(got[1], z[1::2].T @ z[1::2])
+    model = p.Model(mean, scale, np.ones(len(got[0])), 0.5)
+    above, n = p.counts_above(rows, model, np.array([-1e9, 0.0]))
+    assert n == 5000 and above.tolist() == [5000, (model.logits(x.astype(np.float64)) >= 0).sum()]

@@ -1,11 +1,16 @@
-"""Quality classifier by positive-unlabelled learning: a small network that minimises the non-negative unbiased risk.
+"""Quality classifier by positive-unlabelled learning: the least non-negative unbiased risk.
 
 Trusted positives and unlabelled web text are all it learns from; the class prior is estimated. Features don't depend on
 the language: shares of kinds of characters and words, repetition, and hashed trigrams of character shapes.
+
+The loss is the squared one, (1 - y f)^2 / 4, and f is linear in the features, so the risks depend on the unlabelled rows
+through their second moments alone. These are sums, taken over every unlabelled document where it lies; no sample of them
+is drawn, and what comes to the driver has the size of a matrix of the features.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textatlas.llm.common import remainder
+from textatlas.llm.common import drop, remainder, staged
 from textatlas.llm.sampling import sample_ids, texts_of
 
 SHAPES = 256
@@ -74,101 +79,134 @@ def standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray, words: float =
     return (x - mean) / scale * (n / (n + words))
 
 
+def inputs(x: np.ndarray, mean: np.ndarray, scale: np.ndarray, most: float = 4.0) -> np.ndarray:
+    """1 and the standard features, cut at `most`: what f is linear in."""
+    return np.concatenate([np.ones((len(x), 1)), np.clip(standard(x, mean, scale), -most, most)], axis=1)
+
+
 @dataclass
 class Model:
     mean: np.ndarray
     scale: np.ndarray
-    w1: np.ndarray
-    b1: np.ndarray
-    w2: np.ndarray
-    b2: float
+    w: np.ndarray
     prior: float
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        h = np.tanh(standard(x, self.mean, self.scale) @ self.w1 + self.b1)
-        return h @ self.w2 + self.b2
+        return inputs(x, self.mean, self.scale) @ self.w
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logits(x), -40, 40)))
-
-
-def _softplus(z: np.ndarray) -> np.ndarray:
-    return np.logaddexp(0, z)
-
-
-def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, hidden: int = 16, epochs: int = 40, seed: int = 0) -> Model:
-    """Non-negative PU risk with the logistic loss (Kiryo et al., 2017): prior * R_p+ + max(0, R_u- - prior * R_p-).
-
-    Where the second part of a batch is below 0, the step goes the other way on that part alone."""
-    rng = np.random.default_rng(seed)
-    every = np.concatenate([pos, unl])
-    mean, scale = every.mean(axis=0), every.std(axis=0) + 0.05
-    p_all, u_all = standard(pos, mean, scale), standard(unl, mean, scale)
-    d = pos.shape[1]
-    w = [rng.normal(0, 1 / np.sqrt(d), (d, hidden)), np.zeros(hidden), rng.normal(0, 0.3, hidden), np.zeros(1)]
-    m, v, t = [np.zeros_like(a) for a in w], [np.zeros_like(a) for a in w], 0
-
-    def gradients(x: np.ndarray, g: np.ndarray) -> list[np.ndarray]:
-        h = np.tanh(x @ w[0] + w[1])
-        back = np.outer(g, w[2]) * (1 - h * h)
-        return [x.T @ back, back.sum(axis=0), h.T @ g, g.sum(keepdims=True)]
-
-    logit = lambda x: np.tanh(x @ w[0] + w[1]) @ w[2] + w[3][0]
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-    for _ in range(epochs):
-        ui = rng.permutation(len(u_all))
-        for at in range(0, len(ui), 512):
-            u = u_all[ui[at : at + 512]]
-            p = p_all[rng.integers(0, len(p_all), 512)]
-            zp, zu = logit(p), logit(u)
-            negative = _softplus(zu).mean() - prior * _softplus(zp).mean()
-            gp_minus, gu = -prior * sig(zp) / len(p), sig(zu) / len(u)
-            if negative >= 0:
-                g = [a + b for a, b in zip(gradients(p, -prior * sig(-zp) / len(p) + gp_minus), gradients(u, gu))]
-            else:
-                g = [-(a + b) for a, b in zip(gradients(p, gp_minus), gradients(u, gu))]
-            t += 1
-            rate = 3e-3 * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
-            for i in range(4):
-                gi = g[i] + (1e-3 * w[i] if i in (0, 2) else 0)
-                m[i], v[i] = 0.9 * m[i] + 0.1 * gi, 0.999 * v[i] + 0.001 * gi * gi
-                w[i] = w[i] - rate * m[i] / (np.sqrt(v[i]) + 1e-8)
-    return Model(mean, scale, w[0], w[1], w[2], float(w[3][0]), prior)
-
-
-def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
-    """Class prior from positives and unlabelled rows alone: a first classifier tells them apart, and the least ratio
-    of the unlabelled to the positive share above any of its score quantiles bounds the prior (best bin estimation: the
-    quantile is the one of the least upper confidence bound, else the least of many noisy ratios would be too low)."""
-    half = lambda x, k: x[k::2]
-    first = fit_nnpu(half(pos, 0), half(unl, 0), 0.5, epochs=10)
-    sp, su = first.logits(half(pos, 1)), first.logits(half(unl, 1))
-    noise = np.sqrt(np.log(40) / (2 * len(su))) + np.sqrt(np.log(40) / (2 * len(sp)))
-    shares = [((su >= t).mean(), max((sp >= t).mean(), 1e-9)) for t in np.quantile(sp, np.linspace(0.02, 0.7, 35))]
+        return 1 / (1 + np.exp(-np.clip(4 * self.logits(x), -40, 40)))
+
+
+def risk(w: np.ndarray, moments: np.ndarray, y: int) -> float:
+    """Mean of (1 - y f)^2 / 4 over rows of the given second moments (of inputs(), whose first is 1)."""
+    return float(1 - 2 * y * moments[0] @ w + w @ moments @ w) / 4
+
+
+def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, ridge: float = 1e-2) -> np.ndarray:
+    """The w of least non-negative PU risk (Kiryo et al., 2017): prior * R_p+ + max(0, R_u- - prior * R_p-), and ridge |w|^2 / 4.
+
+    pos and unl: second moments. max(0, r) is the largest t * r of 0 <= t <= 1, and for a given t the least risk has a
+    closed form. With t = 1 it is the unbiased estimator; if that has r < 0, t is lowered until r is 0."""
+    eye = ridge * np.eye(len(pos))
+
+    def least(t: float) -> np.ndarray:
+        return np.linalg.solve(prior * (1 - t) * pos + t * unl + eye, prior * (1 + t) * pos[0] - t * unl[0])
+
+    negative = lambda w: risk(w, unl, -1) - prior * risk(w, pos, -1)
+    w = least(1.0)
+    if negative(w) >= 0:
+        return w
+    low, high = 0.0, 1.0
+    for _ in range(40):
+        t = (low + high) / 2
+        low, high = (t, high) if negative(least(t)) >= 0 else (low, t)
+    return least(low)
+
+
+def prior_of(positive: np.ndarray, above: np.ndarray, n: int, at: np.ndarray) -> float:
+    """Class prior: the least ratio of the unlabelled to the positive share above any of the thresholds `at` of a score
+    bounds it (best bin estimation: the threshold is the one of the least upper confidence bound, else the least of many
+    noisy ratios would be too low). positive: scores; above, n: the unlabelled rows at or over each threshold, and all."""
+    noise = np.sqrt(np.log(40) / (2 * n)) + np.sqrt(np.log(40) / (2 * len(positive)))
+    shares = [(a / n, max((positive >= t).mean(), 1e-9)) for a, t in zip(above, at)]
     best = min((u + noise) / q for u, q in shares)
     return float(np.clip(next(u / q for u, q in shares if (u + noise) / q == best), 0.05, 0.98))
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
+def second_moments(z: np.ndarray) -> np.ndarray:
+    return z.T @ z / max(1, len(z))
+
+
+@F.pandas_udf(T.BinaryType())
 def _features(texts: pd.Series) -> pd.Series:
-    return pd.Series([features(t) for t in texts], dtype=object)
-
-
-def train(docs: DataFrame, labels: DataFrame, allowed: Column, most_positive: int = 3000, most_unlabelled: int = 5000, most_chars: int = 20_000) -> Model | None:
-    """Fits on bounded samples: documents labelled 1 in `quality`, and documents at large, whose label isn't looked at;
-    both among rows where `allowed` (of doc_id) holds, of at most most_chars characters, by hash of the id.
-
-    None if either sample is empty."""
-    positive = sample_ids(labels.where((F.col("quality") == 1) & allowed), most_positive, "positive").withColumn("kind", F.lit(1))
-    unlabelled = sample_ids(docs.where(allowed), most_unlabelled, "unlabelled").withColumn("kind", F.lit(0))
-    ids = positive.unionByName(unlabelled)
-    rows = texts_of(docs, ids, most_chars).select("kind", "doc_id", _features("text").alias("x")).collect()
-    rows.sort(key=lambda r: (r["kind"], r["doc_id"]))
-    of = lambda k: np.array([r["x"] for r in rows if r["kind"] == k], dtype=np.float64).reshape(-1, DENSE + SHAPES)
-    pos, unl = of(1), of(0)
-    if len(pos) < 2 or len(unl) < 2:
+    return pd.Series([features(t).tobytes() for t in texts], dtype=object)
+
+
+def _rows(found: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(found), dtype=np.float32).reshape(-1, DENSE + SHAPES).astype(np.float64)
+
+
+def unlabelled_moments(rows: DataFrame, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Sums of the inputs' products over rows(half, x), for each half: an array [2, d, d], whose [h, 0, 0] is the number of rows.
+
+    A task gives one such array, and they are added up in a tree."""
+    d = DENSE + SHAPES + 1
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((2, d, d))
+        for batch in batches:
+            for at in range(0, len(batch), 4096):
+                part = batch.iloc[at : at + 4096]
+                z, half = inputs(_rows(part["x"]), mean, scale), part["half"].to_numpy()
+                for h in (0, 1):
+                    total[h] += z[half == h].T @ z[half == h]
+        yield pd.DataFrame({"total": [total.tobytes()]})
+
+    sums = rows.mapInPandas(summed, "total binary").rdd
+    return sums.treeAggregate(np.zeros((2, d, d)), lambda a, r: a + np.frombuffer(r[0]).reshape(2, d, d), lambda a, b: a + b, 3)
+
+
+def counts_above(rows: DataFrame, model: Model, at: np.ndarray) -> tuple[np.ndarray, int]:
+    """How many of rows(x) score at least each threshold, and how many there are."""
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(len(at) + 1, dtype=np.int64)
+        for batch in batches:
+            f = model.logits(_rows(batch["x"]))
+            total += np.append((f[:, None] >= at).sum(axis=0), len(f))
+        yield pd.DataFrame({"i": np.arange(len(total)), "n": total})
+
+    got = rows.mapInPandas(counted, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()
+    total = dict(got)
+    return np.array([total.get(i, 0) for i in range(len(at))]), total.get(len(at), 0)
+
+
+def train(docs: DataFrame, labels: DataFrame, allowed: Column, most_positive: int = 3000) -> Model | None:
+    """Fits on at most most_positive documents labelled 1 in `quality`, by hash of the id, and on every document, whose label
+    isn't looked at; both among rows where `allowed` (of doc_id) holds and the text isn't null.
+
+    Of labelled rows alike in doc_id the least text counts. None without a row of either kind in both halves."""
+    half = F.pmod(F.xxhash64(F.lit("half"), F.col("doc_id")), F.lit(2)).cast("int").alias("half")
+    ids = sample_ids(labels.where((F.col("quality") == 1) & allowed), most_positive, "positive")
+    known = texts_of(docs, ids).select("doc_id", half, _features("text").alias("x")).collect()
+    known.sort(key=lambda r: r["doc_id"])
+    if {r["half"] for r in known} != {0, 1}:
+        return None
+    pos, side = _rows(pd.Series([bytes(r["x"]) for r in known])), np.array([r["half"] for r in known])
+    mean, scale = pos.mean(axis=0), pos.std(axis=0) + 0.05
+    rows = staged(docs.where(allowed & F.col("text").isNotNull()).select(half, _features("text").alias("x")), "features")
+    sums = unlabelled_moments(rows, mean, scale)
+    n = sums[:, 0, 0]
+    if not n.all():
         return None
-    return fit_nnpu(pos, unl, estimate_prior(pos, unl))
+    z = inputs(pos, mean, scale)
+    first = Model(mean, scale, fit_nnpu(second_moments(z[side == 0]), sums[0] / n[0], 0.5), 0.5)
+    scores = first.logits(pos[side == 1])
+    at = np.quantile(scores, np.linspace(0.02, 0.7, 35))
+    prior = prior_of(scores, *counts_above(rows.where("half = 1"), first, at), at)
+    drop(rows)
+    return Model(mean, scale, fit_nnpu(second_moments(z), sums.sum(axis=0) / n.sum(), prior), prior)
 
 
 def score_quality(docs: DataFrame, model: Model | None, column: str = "score") -> DataFrame:
@@ -189,7 +227,10 @@ def score_quality(docs: DataFrame, model: Model | None, column: str = "score") -
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **parameters) -> DataFrame:
-    """doc_id, held_out, score, predicted: a row per document; learns from rows that aren't held out."""
+    """doc_id, held_out, score, predicted: a row per document; learns from rows that aren't held out.
+
+    A null id counts as the empty text for held_out and gets its row; repeated rows each get theirs; an empty table gives
+    no rows; other columns are ignored. For null and empty texts, and without labels, see score_quality."""
     held_out = remainder(F.col("doc_id"), 4) == 2
     model = train(docs, labels, ~held_out, **parameters)
     found = score_quality(docs.select("doc_id", "text"), model)

@@ -12,8 +12,8 @@ def sample_ids(rows: DataFrame, most: int, salt: str) -> DataFrame:
     return ids.orderBy(F.xxhash64(F.lit(salt), "doc_id"), "doc_id").limit(most)
 
 
-def texts_of(docs: DataFrame, ids: DataFrame, most_chars: int) -> DataFrame:
-    """The columns of ids, a bounded table, and text: of each id in docs whose text is no longer than most_chars. Of rows
-    alike in doc_id the least text counts, so the result is no longer than ids."""
-    short = docs.where(F.col("text").isNotNull() & (F.length("text") <= most_chars)).select("doc_id", "text")
-    return short.join(F.broadcast(ids), "doc_id").groupBy(*ids.columns).agg(F.min("text").alias("text"))
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The columns of ids, a bounded table that is broadcast, and text: of each id in docs, whole. Of rows alike in doc_id
+    the least text counts, so the result is no longer than ids; null texts don't count."""
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
+    return rows.join(F.broadcast(ids), "doc_id").groupBy(*ids.columns).agg(F.min("text").alias("text"))

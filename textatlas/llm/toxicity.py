@@ -210,9 +210,21 @@ class Model:
         return _sigmoid(np.clip(self.slope * self.document_logits(texts) + self.offset, -40, 40))
 
 
+def calibration_fold(labels: np.ndarray, rng: np.random.Generator, share: float = 0.2, least: int = 10) -> np.ndarray:
+    """A random share of each class; nothing of a class of fewer than `least` documents, which are all needed to learn from."""
+    fold = np.zeros(len(labels), dtype=bool)
+    for y in (0, 1):
+        own = np.flatnonzero(labels == y)
+        if len(own) >= least:
+            fold[rng.choice(own, int(share * len(own)), replace=False)] = True
+    return fold
+
+
 def fit(texts: list[str], labels: np.ndarray, epochs: int = 12, batch: int = 256, per_epoch: int = 6000, seed: int = 0) -> Model:
     """Learns from documents, though it scores windows: at first every window of a document marked toxic counts as toxic,
-    later the worst half of the document's, then its worst one; of the others, random windows and the worst one."""
+    later the worst half of the document's, then its worst one; of the others, random windows and the worst one.
+
+    Every text has a word, and there is one of either label."""
     rng = np.random.default_rng(seed)
     docs = [words_of(t) for t in texts]
     known: dict[str, int] = {}
@@ -228,7 +240,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 12, batch: int = 256
         of += [i] * len(starts)
         base += len(d)
     first, length, of = np.array(first), np.array(length), np.array(of)
-    fold = rng.random(len(docs)) < 0.2  # for the calibration
+    fold = calibration_fold(labels, rng)
     y = labels[of].astype(np.float32)
     p, steps = new_parameters(seed), np.arange(WINDOW)[:, None]
     m, v, t = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}, 0
@@ -303,14 +315,25 @@ def calibrate(z: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> tuple[float,
     return float(max(w[0], 1e-2)), float(w[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, allowed: Column, most_toxic: int = 1000, most_clean: int = 2000, most_chars: int = 6_000) -> Model | None:
-    """Fits on a bounded sample of labelled documents, by hash of the id, of at most most_chars characters, where
-    `allowed` (of doc_id) holds. None if one of the classes is empty."""
+def extract(text: str | None, most_words: int, spans: int = 8) -> str | None:
+    """The text's words; of one of over most_words, `spans` runs of words at even distances, of most_words in all. None without
+    a word."""
+    words = words_of(text)
+    if len(words) > most_words:
+        size = most_words // spans
+        starts = [k * (len(words) - size) // (spans - 1) for k in range(spans)]
+        words = [w for at in starts for w in words[at : at + size]]
+    return " ".join(words) or None
+
+
+def train(docs: DataFrame, labels: DataFrame, allowed: Column, most_toxic: int = 1000, most_clean: int = 2000, most_words: int = 2048) -> Model | None:
+    """Fits on a bounded sample of labelled documents, by hash of the id, where `allowed` (of doc_id) holds; documents of over
+    most_words words take part by extract(). None if one of the classes is empty."""
     toxic = sample_ids(labels.where((F.col("toxic") == 1) & allowed), most_toxic, "toxic").withColumn("y", F.lit(1))
     clean = sample_ids(labels.where((F.col("toxic") == 0) & allowed), most_clean, "clean").withColumn("y", F.lit(0))
-    rows = texts_of(docs, toxic.unionByName(clean), most_chars).select("doc_id", "y", "text").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["y"]))
-    rows = [r for r in rows if words_of(r["text"])]
+    cut = F.udf(lambda text: extract(text, most_words), "string", useArrow=True)
+    rows = texts_of(docs, toxic.unionByName(clean)).select("doc_id", "y", cut("text").alias("text")).collect()
+    rows = sorted((r for r in rows if r["text"]), key=lambda r: (r["doc_id"], r["y"]))
     y = np.array([r["y"] for r in rows])
     if not (y == 1).any() or not (y == 0).any():
         return None
@@ -333,7 +356,10 @@ def score_toxicity(docs: DataFrame, model: Model | None, column: str = "score")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **parameters) -> DataFrame:
-    """doc_id, held_out, score, predicted: a row per document; learns from rows that aren't held out."""
+    """doc_id, held_out, score, predicted: a row per document; learns from rows that aren't held out.
+
+    A null id counts as the empty text for held_out and gets its row; repeated rows each get theirs; an empty table gives
+    no rows; other columns are ignored. For null and empty texts, and without labels, see score_toxicity."""
     held_out = remainder(F.col("doc_id"), 3) == 1
     model = train(docs, labels, ~held_out, **parameters)
     found = score_toxicity(docs.select("doc_id", "text"), model)
