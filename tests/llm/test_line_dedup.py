@@ -37,12 +37,13 @@ def made(n=80, seed=0):
     return [(i, "\n".join(rnd.choice(lines[: rnd.choice([3, 34])]) for _ in range(rnd.choice([0, 1, 6]))), "en", f"s{rnd.randrange(14)}") for i in range(n)]
 
 
+@pytest.mark.parametrize("limits", [{}, {"most_in_set": 0, "most_places": 3}])
 @pytest.mark.parametrize("keep_first", [True, False])
 @pytest.mark.parametrize("min_sites", [2, 8, 13])
-def test_matches_brute_force(make_docs, odd_rows, keep_first, min_sites):
+def test_matches_brute_force(make_docs, odd_rows, keep_first, min_sites, limits):
     rows = made() + [(i if i is None else 1000 + i, t, g, s) for i, t, g, s in odd_rows]
     df = make_docs(rows, clashing=True)
-    out = l.dedup_lines(df, min_sites=min_sites, keep_first=keep_first)
+    out = l.dedup_lines(df, min_sites=min_sites, keep_first=keep_first, **limits)
     assert set(out.columns) == set(df.columns) | {"n_lines", "n_removed"}
     key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
     got = sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in out.collect()), key=key)

@@ -10,14 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textatlas.llm.common import BLANK, NOT_BLANK, staged
+from textatlas.llm.common import NOT_BLANK, staged
+from textatlas.plans.sizing import broadcast_if_small
 
 LINE_KEY = ["h1", "h2"]
 
 
 def _hashes(line: Column) -> list[Column]:
     """128 bits of the line without its outer blanks."""
-    line = F.regexp_replace(line, rf"^{BLANK}+|{BLANK}+$", "")
+    line = F.btrim(line, F.lit(" \t\n\v\f\r"))
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2")]
 
 
@@ -48,7 +49,7 @@ def boilerplate(places: DataFrame, min_sites: int = 8, near: float = 0.25, log2_
     spread = staged(spread.where(F.col("sites") >= min_sites - band), "spread")
     close = spread.where(F.col("sites") <= min_sites + band)
     exact = (
-        places.join(close.select(*LINE_KEY), LINE_KEY)
+        places.join(broadcast_if_small(close.select(*LINE_KEY)), LINE_KEY)
         .where(F.col("site").isNotNull())
         .select(*LINE_KEY, "site").distinct()
         .groupBy(*LINE_KEY).agg(F.count("*").alias("sites"))
@@ -58,38 +59,71 @@ def boilerplate(places: DataFrame, min_sites: int = 8, near: float = 0.25, log2_
     return sure.unionByName(checked.select(sure.columns))
 
 
+def _gone_by_set(docs: DataFrame, common: DataFrame, keep_first: bool) -> DataFrame:
+    """docs with `__kept`, the text's lines that stay: the common lines are a set inside the expression, nothing is shuffled.
+    Only the rows that hold a first place, no more than there are common lines, are joined, by broadcast."""
+    keys = [(r.h1, r.h2) for r in common.select(*LINE_KEY).collect()]
+    firsts = common.where(F.lit(keep_first)).select("first.*").groupBy("doc_id", "t1", "t2").agg(F.collect_set("pos").alias("__first"))
+    firsts = F.broadcast(firsts.toDF("__id", "__t1", "__t2", "__first"))
+    on = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__t1")) & (F.xxhash64(F.lit(1), docs["text"]) == F.col("__t2"))
+
+    def stays(line: Column, i: Column) -> Column:
+        h1, h2 = _hashes(line)
+        common_line = h1.isin([k[0] for k in keys]) & h2.isin([k[1] for k in keys]) & line.rlike(NOT_BLANK)
+        return ~common_line | F.array_contains(F.coalesce("__first", F.array().cast("array<int>")), i)
+
+    lines = F.split(docs["text"], "\n")
+    return docs.join(firsts, on, "left").select(docs["*"], (F.filter(lines, stays) if keys else lines).alias("__kept"))
+
+
+def _gone_by_join(docs: DataFrame, site: str, common: DataFrame, keep_first: bool, most: int) -> DataFrame:
+    """The same by joins. The places of a line with over `most` of them are dealt over several tasks."""
+    large = F.broadcast(common.where(F.col("n_places") > most).select(*LINE_KEY, F.ceil(F.col("n_places") / most).cast("int").alias("parts")))
+    part = F.pmod(F.xxhash64("t1", "pos"), F.coalesce("parts", F.lit(1))).cast("int")
+    places = line_places(docs, site).join(large, LINE_KEY, "left").withColumn("part", part).drop("parts", "site")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
+    spread = common.select(*LINE_KEY, "first").join(large, LINE_KEY, "left").withColumn("part", every)
+    gone = places.join(spread.select(*LINE_KEY, "part", "first"), [*LINE_KEY, "part"])
+    if keep_first:
+        same = [F.col(c).eqNullSafe(F.col(f"first.{c}")) for c in ("doc_id", "pos", "t1", "t2")]
+        gone = gone.where(~(same[0] & same[1] & same[2] & same[3]))
+    # a document's own lines: as many as it has
+    per_row = gone.groupBy("doc_id", "t1", "t2").agg(F.collect_set("pos").alias("__gone")).toDF("__id", "__t1", "__t2", "__gone")
+    on = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__t1")) & (F.xxhash64(F.lit(1), docs["text"]) == F.col("__t2"))
+    none = F.array().cast("array<int>")
+    kept = F.filter(F.split(docs["text"], "\n"), lambda line, i: ~F.array_contains(F.coalesce("__gone", none), i))
+    return docs.join(per_row, on, "left").select(docs["*"], kept.alias("__kept"))
+
+
 def dedup_lines(
-    docs: DataFrame, site: str = "source", min_sites: int = 8, keep_first: bool = True, near: float = 0.25, counts: bool = True
+    docs: DataFrame,
+    site: str = "source",
+    min_sites: int = 8,
+    keep_first: bool = True,
+    near: float = 0.25,
+    counts: bool = True,
+    most_in_set: int = 10_000,
+    most_places: int = 200_000,
 ) -> DataFrame:
     """docs with the boilerplate lines taken out of `text`: a row per row. With counts, n_lines and n_removed (long) are added.
 
     Lines are the \\n-split parts that hold a word, alike if equal without outer blanks; blank lines stay. A null text
     stays null, with 0 lines. A text whose lines all go becomes empty. Rows alike in doc_id and text are one place, so
     they keep or lose the same lines. Other columns pass through; with counts, docs' own n_lines and n_removed
-    are replaced."""
-    places = staged(line_places(docs, site), "places")
-    common = boilerplate(places, min_sites, near)
-    gone = places.join(common.select(*LINE_KEY, "first"), LINE_KEY)
-    if keep_first:
-        gone = gone.where(
-            ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("pos") == F.col("first.pos"))
-              & (F.col("t1") == F.col("first.t1")) & (F.col("t2") == F.col("first.t2")))
-        )
-    # a document's own lines: as many as it has
-    per_row = gone.groupBy("doc_id", "t1", "t2").agg(F.collect_set("pos").alias("gone"))
-    per_row = per_row.select(F.col("doc_id").alias("__id"), F.col("t1").alias("__t1"), F.col("t2").alias("__t2"), F.col("gone").alias("__gone"))
-    on = (
-        docs["doc_id"].eqNullSafe(F.col("__id"))
-        & (F.xxhash64(docs["text"]) == F.col("__t1"))
-        & (F.xxhash64(F.lit(1), docs["text"]) == F.col("__t2"))
-    )
-    both = docs.join(per_row, on, "left")
-    kept = F.array_join(
-        F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(F.coalesce("__gone", F.array().cast("array<int>")), i)), "\n"
-    )
-    n_lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line: line.rlike(NOT_BLANK))).cast("long")
-    out = [F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else docs[c]
-           for c in docs.columns if not counts or c not in ("n_lines", "n_removed")]
+    are replaced.
+
+    Up to `most_in_set` boilerplate lines (32 bytes each) are a set that goes to the executors, and the texts aren't
+    shuffled; with more, places, lines and texts are joined. The rows are the same."""
+    common = staged(boilerplate(line_places(docs, site), min_sites, near).select(*LINE_KEY, "n_places", "first"), "common")
+    if common.count() <= most_in_set:
+        both = _gone_by_set(docs, common, keep_first)
+    else:
+        both = _gone_by_join(docs, site, common, keep_first, most_places)
+    before = F.size(F.split("text", "\n"))
+    n_removed = F.when(F.col("text").isNull(), 0).otherwise(before - F.size("__kept")).cast("long")
+    text = F.when(F.size("__kept") < before, F.array_join("__kept", "\n")).otherwise(F.col("text"))
+    out = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns if not counts or c not in ("n_lines", "n_removed")]
     if not counts:
         return both.select(*out)
-    return both.select(*out, n_lines.alias("n_lines"), F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("n_removed"))
+    n_lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line: line.rlike(NOT_BLANK))).cast("long")
+    return both.select(*out, n_lines.alias("n_lines"), n_removed.alias("n_removed"))
