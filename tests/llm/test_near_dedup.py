@@ -42,6 +42,22 @@ def edited(rnd, text, k):
     return " ".join(words)
 
 
+@pytest.mark.parametrize("shard_rows", [4096, 7])
+def test_links_between_members_of_a_large_shard_match_brute_force(spark, make_docs, shard_rows):
+    """Many texts of one template, alike at about 0.6 to 0.9, so that no one member is like all others."""
+    rnd = random.Random(11)
+    base = [f"t{i}" for i in range(200)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for at in rnd.sample(range(200), rnd.choice([1, 3, 5, 6, 8])):
+            words[at] = f"v{rnd.randrange(4)}"
+        rows.append((i, " ".join(words)))
+    # 40 bands of 2 miss no pair at 0.8 with odds of 1 in 10^17
+    out = n.dedup(make_docs(rows), bands=40, rows=2, shard_rows=shard_rows)
+    assert sorted((False, r.doc_id, r.text) for r in out.collect()) == kept_by_hand(rows)
+
+
 @pytest.mark.parametrize("large", [False, True])
 def test_stage_groups_match_brute_force(spark, make_docs, large):
     from textatlas.llm import pipeline

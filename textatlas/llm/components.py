@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large-star and small-star steps (Kiveris et al., 2014).
 
-Each step is a minimum by node (combined map-side) and a join, so a node with a large part of all edges is never gathered
-in a task; every step's edges are written to the shared folder, which cuts the lineage.
+Each step is a minimum by node (combined map-side) and a join in which a node with many edges is dealt over several tasks,
+so no node's edges are gathered in one; every step's edges are written to the shared folder, which cuts the lineage.
 """
 
 from __future__ import annotations
@@ -9,35 +9,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textatlas.llm.common import staged
+from textatlas.llm.common import copied, dealt, drop, staged
+
+#: Edges of a node in one task.
+MOST = 100_000
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    mine, large = dealt(both, "u", MOST)
+    mine = mine.join(copied(least, "u", large), ["u", "part"]).where("v > u")
+    return mine.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    others = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    mine, large = dealt(edges, "u", MOST)
+    others = mine.join(copied(least, "u", large), ["u", "part"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return others.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """node, root for edges(u, v) of long ids: every node of an edge with the least node of its component.
 
-    Nulls, loops and repeated edges don't count; no edges, no rows."""
+    Nulls, loops and repeated edges don't count; no edges, no rows. It goes on until a round changes nothing, which takes
+    a number of rounds in the order of the logarithm of the longest chain."""
     now = edges.where("u is not null and v is not null and u <> v")
     now = now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now, before = staged(now, "edges"), None
-    for _ in range(most_rounds):
+    while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before or not mark[0]:
             break
-        before = mark
+        before, last = mark, now
         now = staged(_small_star(_large_star(now)), "edges")
-    else:
-        raise RuntimeError(f"components are not settled after {most_rounds} rounds")
+        drop(last)
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textatlas.llm.common import staged
+from textatlas.llm.common import small_batches, staged
 
 #: After A-Z are lower-cased: runs of digits, a-z and non-ASCII characters.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -140,7 +140,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, shar
     of several shards is one search for each over the same rows, each written before the next. Nothing is shuffled.
     Null and wordless texts and items have no windows. Items alike in id are one item, a null id is the empty text.
     Other columns pass through; one named `found` is replaced."""
-    names = [c for c in docs.columns if c != "found"]
+    names = [c for c in small_batches(docs).columns if c != "found"]
     dealt, n = item_shards(benchmark, shard_chars)
     items = lambda i: [tuple(r) for r in dealt.where(F.col("shard") == i).select("item_id", "text").collect()]
     if n == 1:

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textatlas.llm.common import remainder
+from textatlas.llm.common import remainder, small_batches
 
 #: Language families by ISO 639-1 code; a language that isn't listed is its own family.
 FAMILIES = {
@@ -156,7 +156,7 @@ def _features(texts: pd.Series) -> pd.Series:
 def train(docs: DataFrame, allowed, most_per_lang: int = 400, most_chars: int = 20_000) -> Model:
     """Fits on a bounded sample: most_per_lang documents of a language, by hash of the id, of at most most_chars characters,
     among the rows where `allowed` holds and lang isn't null."""
-    rows = docs.where(allowed & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") <= most_chars))
+    rows = small_batches(docs).where(allowed & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") <= most_chars))
     n = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     share = F.create_map(*[x for k, v in sorted(n.items()) for x in (F.lit(k), F.lit(min(1.0, 2.0 * most_per_lang / v)))]) if n else None
     if not n:
@@ -190,7 +190,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 scores.append(float(score))
         return pd.DataFrame({"lang_pred": langs, "score": scores})
 
-    return docs.withColumn("predicted", predict("text"))
+    return small_batches(docs).withColumn("predicted", predict("text"))
 
 
 def language_id(docs: DataFrame, **parameters) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textatlas.llm.common import drop, remainder, staged
+from textatlas.llm.common import drop, remainder, small_batches, staged
 from textatlas.llm.sampling import sample_ids, texts_of
 
 SHAPES = 256
@@ -189,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, most_positive: in
     Of labelled rows alike in doc_id the least text counts. None without a row of either kind in both halves."""
     half = F.pmod(F.xxhash64(F.lit("half"), F.col("doc_id")), F.lit(2)).cast("int").alias("half")
     ids = sample_ids(labels.where((F.col("quality") == 1) & allowed), most_positive, "positive")
-    known = texts_of(docs, ids).select("doc_id", half, _features("text").alias("x")).collect()
+    known = texts_of(small_batches(docs), ids).select("doc_id", half, _features("text").alias("x")).collect()
     known.sort(key=lambda r: r["doc_id"])
     if {r["half"] for r in known} != {0, 1}:
         return None
@@ -223,7 +223,7 @@ def score_quality(docs: DataFrame, model: Model | None, column: str = "score") -
             out[at : at + 512] = np.where([bool(t and t.strip()) for t in part], got, 0.0 if model is not None else 0.5)
         return pd.Series(out)
 
-    return docs.withColumn(column, score("text"))
+    return small_batches(docs).withColumn(column, score("text"))
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **parameters) -> DataFrame:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textatlas.llm.common import remainder
+from textatlas.llm.common import remainder, small_batches
 from textatlas.llm.sampling import sample_ids, texts_of
 
 WINDOW, STRIDE = 32, 16
@@ -332,7 +332,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, most_toxic: int =
     toxic = sample_ids(labels.where((F.col("toxic") == 1) & allowed), most_toxic, "toxic").withColumn("y", F.lit(1))
     clean = sample_ids(labels.where((F.col("toxic") == 0) & allowed), most_clean, "clean").withColumn("y", F.lit(0))
     cut = F.udf(lambda text: extract(text, most_words), "string", useArrow=True)
-    rows = texts_of(docs, toxic.unionByName(clean)).select("doc_id", "y", cut("text").alias("text")).collect()
+    rows = texts_of(small_batches(docs), toxic.unionByName(clean)).select("doc_id", "y", cut("text").alias("text")).collect()
     rows = sorted((r for r in rows if r["text"]), key=lambda r: (r["doc_id"], r["y"]))
     y = np.array([r["y"] for r in rows])
     if not (y == 1).any() or not (y == 0).any():
@@ -352,7 +352,7 @@ def score_toxicity(docs: DataFrame, model: Model | None, column: str = "score")
         has = np.array([bool(t) and _WORD.search(t) is not None for t in texts], dtype=bool)
         return pd.Series(np.where(has, model.scores(list(texts)), 0.0))
 
-    return docs.withColumn(column, score("text"))
+    return small_batches(docs).withColumn(column, score("text"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **parameters) -> DataFrame:
