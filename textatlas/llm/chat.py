@@ -1,8 +1,8 @@
 """Chat formatting by multi-party perspective rotation. DataFrame functions only.
 
 For every participant, the dialogue is rendered with that speaker as assistant, the others as named users, and a mask over
-the assistant's words alone. A conversation is rendered in parts of at most `part_turns` turns, nearly always one; so no
-task gathers more than that of a conversation, however long.
+the assistant's words alone. A conversation is rendered whole, as one row for a participant; a caller may ask for parts.
+Marks of the format that stand in a text or a name are broken up, so that no text can end its turn or begin another's.
 """
 
 from __future__ import annotations
@@ -14,7 +14,12 @@ from pyspark.sql import functions as F
 START, END = "<|im_start|>", "<|im_end|>\n"
 
 
-def numbered(turns: DataFrame, range_turns: int) -> DataFrame:
+def escaped(text: Column) -> Column:
+    """The text with a blank inside every `<|` and `|>`."""
+    return F.replace(F.replace(text, F.lit("<|"), F.lit("< |")), F.lit("|>"), F.lit("| >"))
+
+
+def numbered(turns: DataFrame, range_turns: int = 1024) -> DataFrame:
     """turns and `place`, each turn's number in its conversation from 0, by (turn, role, text), nulls first.
 
     Turn numbers are cut into ranges of range_turns: a running count inside a range and the counts of the ranges before."""
@@ -34,11 +39,11 @@ def _header(role: Column, perspective: Column, system: str) -> Column:
     return (
         F.when(role == perspective, F.lit(f"{START}assistant\n"))
         .when(role == system, F.lit(f"{START}system\n"))
-        .otherwise(F.concat(F.lit(f"{START}user name="), role, F.lit("\n")))
+        .otherwise(F.concat(F.lit(f"{START}user name="), F.regexp_replace(escaped(role), r"[\x00-\x1F]", " "), F.lit("\n")))
     )
 
 
-def rotate_perspectives(turns: DataFrame, system: str = "system", unknown: str = "unknown", part_turns: int = 1024) -> DataFrame:
+def rotate_perspectives(turns: DataFrame, system: str = "system", unknown: str = "unknown", part_turns: int | None = None) -> DataFrame:
     """conv_id, perspective, part, n_turns, n_assistant, rendered, mask: a row per conversation, participant and part.
 
     Of turns(conv_id, turn, role, text). Participants are the conversation's distinct roles without `system`, whose turns
@@ -46,11 +51,15 @@ def rotate_perspectives(turns: DataFrame, system: str = "system", unknown: str =
     turns in order of (turn, role, text), nulls first. mask: the spans "start-end" of characters to learn from, counted
     from the part's start, comma-joined: the texts of the perspective's own turns with their end marks. A null text counts
     as empty. Repeated rows are turns of their own. Rows with a null conv_id are one conversation. A conversation of
-    system turns alone has no participant and so no row."""
+    system turns alone has no participant and so no row. Other columns are ignored; an empty table gives no rows.
+
+    part: 0; with part_turns, a conversation of more turns is cut into parts of that many, each a row without the others'
+    turns. Control characters in a role's name are blanks in the rendering."""
     turns = turns.select(
         "conv_id", "turn", F.coalesce(F.nullif("role", F.lit("")), F.lit(unknown)).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
-    placed = numbered(turns, part_turns).withColumn("part", F.floor(F.col("place") / part_turns))
+    part = F.floor(F.col("place") / part_turns) if part_turns else F.lit(0)
+    placed = numbered(turns).withColumn("part", part)
     parts = placed.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("place", "role", "text"))).alias("turns"))
     people = turns.where(F.col("role") != system).select("conv_id", F.col("role").alias("perspective")).distinct()
     both = parts.join(people, parts["conv_id"].eqNullSafe(people["conv_id"])).select(parts["conv_id"], "part", "perspective", "turns")
@@ -58,7 +67,7 @@ def rotate_perspectives(turns: DataFrame, system: str = "system", unknown: str =
         "turns",
         lambda t: F.struct(
             _header(t["role"], F.col("perspective"), system).alias("head"),
-            F.concat(t["text"], F.lit(END)).alias("body"),
+            F.concat(escaped(t["text"]), F.lit(END)).alias("body"),
             (t["role"] == F.col("perspective")).alias("own"),
         ),
     )

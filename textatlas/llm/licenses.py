@@ -140,22 +140,71 @@ required.
 3. This notice may not be removed or altered from any source distribution.""",
 }
 
-#: What every notice holds one of.
-NOTICE_WORDS = r"(?i)licen[cs]e|SPDX"
+#: Further whole texts of a licence: the headers that files carry.
+HEADERS = {
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance
+with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an
+"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific
+language governing permissions and limitations under the License.""",
+    "GPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General
+Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any
+later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along with this program. If not, see
+<https://www.gnu.org/licenses/>.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was
+not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+}
+
+_BSD_3_CLAUSE = """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission.
+
+"""
+TEXTS["BSD-3-Clause"] = TEXTS["BSD-2-Clause"].replace("THIS SOFTWARE IS PROVIDED", _BSD_3_CLAUSE + "THIS SOFTWARE IS PROVIDED", 1)
+
+#: Headings that may stand over a licence's text.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "Expat License"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "0BSD License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License'],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The 3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License'],
+    "Unlicense": ["The Unlicense", "Unlicense"],
+    "Zlib": ["zlib License", "The zlib License"],
+}
+
+#: What a line has to hold if it is one of the texts above, in any of their spellings.
+NOTICE_WORDS = r"(?i)licen[cs]e|SPDX|GPL|software"
 
-# A line that names a holder or reserves rights; the bodies of licences speak of "copyright" inside their lines.
+# A line that names a holder or reserves rights. Where a body's lines are wrapped, one may start with "copyright" as well: those
+# of BODY_LINE stay, as they get a sign before the word.
+BODY_LINE = r"\n([ \t#*/;-]*)(copyright (?:holder|owner|notice|law|interest|license|and|or)s?\b)"
 COPYRIGHT_LINE = r"(?:copyright\b|\(c\) |©|all rights reserved)[^\n]*"
+# What may stand before a line's first word: blanks, comment marks, and the mark of a list's item.
+LINE_START = r"\n[ \t#*/;-]*"
+ITEM = r"(?:[0-9]{1,2}|[a-z])[.)][ \t]+"
 
 
 def normalised(text: Column) -> Column:
     """Words of the text in canonical spelling, one blank between; what isn't a-z, 0-9 or non-ASCII separates words.
 
-    Lines that start as a copyright notice are left out. Null stays null."""
+    Lines that start as a copyright notice, and the numbers or letters of a list's items, are left out; "v2" and "version 2"
+    are alike. Null stays null."""
     low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ\r", "abcdefghijklmnopqrstuvwxyz ")
-    low = F.regexp_replace(F.concat(F.lit("\n"), low), r"\n[ \t#*/;-]*" + COPYRIGHT_LINE, "\n")
+    low = F.regexp_replace(F.concat(F.lit("\n"), low), BODY_LINE, "\n$1=$2")
+    low = F.regexp_replace(low, LINE_START + COPYRIGHT_LINE, "\n")
+    low = F.regexp_replace(low, LINE_START + ITEM, "\n")
     low = F.concat(F.lit(" "), F.regexp_replace(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "  "), F.lit(" "))
     for a, b in SPELLINGS.items():
         low = F.replace(low, F.lit(f" {a} "), F.lit(f" {b} "))
+    low = F.regexp_replace(low, " v([0-9])", " v  $1")
     return F.trim(F.regexp_replace(low, " +", " "))
 
 
@@ -164,33 +213,50 @@ def digest(text: Column) -> Column:
     return F.md5(F.nullif(normalised(text), F.lit("")))
 
 
+def known_texts(extra: dict[str, list[str]] | None = None) -> list[tuple[str, str]]:
+    """(license_id, text): the texts above, with and without each of their titles, and those of extra."""
+    rows = [(k, t) for table in (NOTICES, extra or {}) for k, ts in table.items() for t in ts]
+    bodies = [*TEXTS.items(), *HEADERS.items()]
+    return rows + bodies + [(k, f"{title}\n\n{t}") for k, t in bodies for title in TITLES.get(k, [])]
+
+
 def known_licenses(spark: SparkSession, extra: dict[str, list[str]] | None = None) -> DataFrame:
-    """license_id, digest: distinct digests of the texts above and of extra; a digest has one licence, the first by name."""
-    rows = [(k, t) for k, ts in NOTICES.items() for t in ts] + list(TEXTS.items()) + [(k, t) for k, ts in (extra or {}).items() for t in ts]
-    known = spark.createDataFrame(rows, "license_id string, text string").select("license_id", digest(F.col("text")).alias("digest"))
+    """license_id, digest: distinct digests of known_texts(); a digest has one licence, the first by name."""
+    known = spark.createDataFrame(known_texts(extra), "license_id string, text string").select("license_id", digest(F.col("text")).alias("digest"))
     return known.where("digest is not null").groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
-def scan_licenses(docs: DataFrame, known: DataFrame | None = None, longest_line: int = 400) -> DataFrame:
+def _lines(text: Column, own: bool) -> Column:
+    """Digests of the lines that can be known: each with a word, or with one of NOTICE_WORDS, without which none is."""
+    holds = NOTICE_WORDS if own else NOT_BLANK
+    return F.transform(F.filter(F.split(text, "\n"), lambda x: x.rlike(holds)), lambda x: digest(x))
+
+
+def scan_licenses(docs: DataFrame, known: DataFrame | None = None, most_in_set: int = 10_000) -> DataFrame:
     """doc_id, text_digest, license_id, notices, n_notices: a row per document of docs(doc_id, text).
 
     text_digest: of the entire text, null for null texts and texts without words. license_id: the known licence with that
-    digest, else null. notices: distinct licences whose notice is a line of the text, sorted; n_notices: such lines. Lines
-    of over longest_line characters aren't digested, unless `known` is passed. Repeated rows each get their row;
-    other columns are ignored."""
+    digest, else null. notices: distinct licences whose text is a line of the text, of any length, sorted; n_notices: such
+    lines. Repeated rows each get their row; other columns are ignored; an empty table gives no rows.
+
+    known(digest, license_id), distinct by digest; the texts above if None. Up to most_in_set digests (40 bytes each) go to
+    the executors as a set; more are joined, with the lines of every distinct text."""
     own = known is None
-    known = known_licenses(docs.sparkSession) if own else known
-    within = lambda x: (F.length(x) <= longest_line) & x.rlike(NOT_BLANK) if own else x.rlike(NOT_BLANK)
-    notice = F.filter(F.split("text", "\n"), within)
-    # every notice above holds one of these words, so other lines needn't be looked up
-    lines = F.filter(notice, lambda x: x.rlike(NOTICE_WORDS)) if own else notice
-    # the known digests as one map: a table of a fixed size
-    table = known.agg(F.map_from_entries(F.collect_list(F.struct("digest", "license_id"))).alias("m")).scalar()
-    out = docs.select("doc_id", digest(F.col("text")).alias("text_digest"), F.transform(lines, lambda x: digest(x)).alias("line_digests"), table.alias("table"))
+    known = known_licenses(docs.sparkSession) if own else known.select("digest", "license_id")
+    few = known.limit(most_in_set + 1).count() <= most_in_set
     whole = known.select(F.col("digest").alias("text_digest"), "license_id")
-    found = F.filter(F.transform(F.coalesce("line_digests", F.array().cast("array<string>")), lambda d: F.try_element_at(F.col("table"), d)), lambda x: x.isNotNull())
-    return (
-        out.join(F.broadcast(whole), "text_digest", "left")
-        .withColumn("found", found)
-        .select("doc_id", "text_digest", "license_id", F.array_sort(F.array_distinct("found")).alias("notices"), F.size("found").cast("long").alias("n_notices"))
+    out = docs.select("doc_id", "text", digest(F.col("text")).alias("text_digest")).join(F.broadcast(whole) if few else whole, "text_digest", "left")
+    none = F.array().cast("array<string>")
+    if few:
+        table = [tuple(r) for r in known.select("digest", "license_id").collect()]
+        names = F.create_map(*[F.lit(x) for r in table for x in r]) if table else F.create_map().cast("map<string,string>")
+        hit = F.filter(_lines(F.col("text"), own), lambda d: d.isin([r[0] for r in table]) if table else F.lit(False))
+        out = out.withColumn("found", F.transform(F.coalesce(hit, none), lambda d: F.try_element_at(names, d)))
+    else:
+        text = docs.where(F.col("text").isNotNull()).select("text").distinct()
+        lines = text.select(F.md5("text").alias("__text"), F.explode(_lines(F.col("text"), own)).alias("digest"))
+        found = lines.join(known, "digest").groupBy("__text").agg(F.collect_list("license_id").alias("found"))
+        out = out.withColumn("__text", F.md5("text")).join(found, "__text", "left").withColumn("found", F.coalesce("found", none))
+    return out.select(
+        "doc_id", "text_digest", "license_id", F.array_sort(F.array_distinct("found")).alias("notices"), F.size("found").cast("long").alias("n_notices")
     )

@@ -46,7 +46,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
+    return chat.rotate_perspectives(table(spark, sf_dir, "conversations")).drop("part")
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,14 +75,16 @@ def _license_sql() -> str:
 
     def normalised(x: str) -> str:
         x = f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(13), 'abcdefghijklmnopqrstuvwxyz ')"
-        x = f"regexp_replace(chr(10) || {x}, '\\n[ \\t#*/;-]*{licenses.COPYRIGHT_LINE}', chr(10), 'g')"
+        x = f"regexp_replace(chr(10) || {x}, '{licenses.BODY_LINE}', chr(10) || '\\1=\\2', 'g')"
+        x = f"regexp_replace({x}, '{licenses.LINE_START}{licenses.COPYRIGHT_LINE}', chr(10), 'g')"
+        x = f"regexp_replace({x}, '{licenses.LINE_START}{licenses.ITEM}', chr(10), 'g')"
         x = f"' ' || regexp_replace({x}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', '  ', 'g') || ' '"
         for a, b in licenses.SPELLINGS.items():
             x = f"replace({x}, ' {a} ', ' {b} ')"
+        x = f"regexp_replace({x}, ' v([0-9])', ' v  \\1', 'g')"
         return f"trim(regexp_replace({x}, ' +', ' ', 'g'), ' ')"
 
-    rows = [(k, t) for k, ts in licenses.NOTICES.items() for t in ts] + list(licenses.TEXTS.items())
-    values = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in rows)
+    values = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in licenses.known_texts())
     return rf"""
 WITH k AS (
   SELECT digest, min(license_id) AS license_id
@@ -92,7 +94,7 @@ WITH k AS (
 ), n AS (
   SELECT rid, string_agg(DISTINCT k.license_id, ',' ORDER BY k.license_id) AS notices, count(*) AS n_notices
   FROM (SELECT rid, md5(nullif({normalised("line")}, '')) AS digest
-        FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d) WHERE length(line) <= 400) JOIN k USING (digest)
+        FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d)) JOIN k USING (digest)
   GROUP BY rid
 )
 SELECT d.doc_id, d.text_digest, k.license_id, coalesce(n.notices, '') AS notices, coalesce(n.n_notices, 0) AS n_notices
@@ -102,27 +104,30 @@ FROM d LEFT JOIN k ON d.text_digest = k.digest LEFT JOIN n USING (rid)
 
 SQL = {
     "op8_license_scan": _license_sql(),
-    "op9_chat_rotation": """
+    "op9_chat_rotation": r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(nullif(role, ''), 'unknown') AS role, coalesce(text, '') AS text FROM conversations
+), safe AS (
+  SELECT conv_id, turn, role, regexp_replace(replace(replace(role, '<|', '< |'), '|>', '| >'), '[\x00-\x1F]', ' ', 'g') AS label,
+         replace(replace(text, '<|', '< |'), '|>', '| >') AS text, text AS raw FROM t
 ), placed AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS place FROM t
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, raw) - 1 AS place FROM safe
 ), people AS (
   SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'
 ), pieces AS (
-  SELECT p.conv_id, q.perspective, p.place // 1024 AS part, p.place, p.role = q.perspective AS own,
+  SELECT p.conv_id, q.perspective, p.place, p.role = q.perspective AS own,
          CASE WHEN p.role = q.perspective THEN '<|im_start|>assistant' || chr(10)
               WHEN p.role = 'system' THEN '<|im_start|>system' || chr(10)
-              ELSE '<|im_start|>user name=' || p.role || chr(10) END AS head,
+              ELSE '<|im_start|>user name=' || p.label || chr(10) END AS head,
          p.text || '<|im_end|>' || chr(10) AS body
   FROM placed p JOIN people q ON p.conv_id IS NOT DISTINCT FROM q.conv_id
 ), ends AS (
-  SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, part ORDER BY place) AS e FROM pieces
+  SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective ORDER BY place) AS e FROM pieces
 )
-SELECT conv_id, perspective, CAST(part AS BIGINT) AS part, count(*) AS n_turns, count(*) FILTER (WHERE own) AS n_assistant,
+SELECT conv_id, perspective, count(*) AS n_turns, count(*) FILTER (WHERE own) AS n_assistant,
        string_agg(head || body, '' ORDER BY place) AS rendered,
        coalesce(string_agg((e - length(body))::BIGINT || '-' || e::BIGINT, ',' ORDER BY place) FILTER (WHERE own), '') AS mask
-FROM ends GROUP BY conv_id, perspective, part
+FROM ends GROUP BY conv_id, perspective
 """,
     "op2_decontaminate": r"""
 WITH doc AS (
