@@ -73,6 +73,19 @@ def drop_staged(kept: int = 0) -> None:
             pass
 
 
+def staged_alone(df: DataFrame, name: str, kept: int) -> DataFrame:
+    """staged(), after which the tables that were staged since the first `kept` go: df has read them."""
+    out = staged(df, name)
+    own = _STAGED.pop()
+    drop_staged(kept)
+    _STAGED.append(own)
+    return out
+
+
+def n_staged() -> int:
+    return len(_STAGED)
+
+
 def dealt(rows: DataFrame, by: str, most: int) -> tuple[DataFrame, DataFrame]:
     """rows with `part`, and (by, parts) for the values of `by` on over `most` rows: such a value's rows are dealt over that
     many parts, by hash; all others are part 0. The second has fewer rows than the first by the factor `most`, and is broadcast."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textatlas.llm import decontaminate, line_dedup, mixing, near_dedup, pu_quality
-from textatlas.llm.common import remainder, staged, table
+from textatlas.llm.common import n_staged, remainder, staged_alone, table
 
 QUALITY_THRESHOLD = 0.7
 
@@ -52,7 +52,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages over documents, each written and read again; what a stage staged goes once its rows are written.
+
+    A null id is an id like any other, but never one that a label or a smaller id stands for; repeated rows are documents
+    of their own up to near-dedup; null and empty texts are rejected by the quality classifier, if there are labels to learn
+    from. An empty table gives no rows. Other columns pass through all stages."""
+    docs, before = table(spark, sf_dir, "documents"), n_staged()
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = staged_alone(stage(spark, docs, sf_dir), name.replace(" ", "-"), before)
     return docs

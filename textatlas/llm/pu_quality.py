@@ -201,12 +201,13 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, most_positive: in
     if not n.all():
         return None
     z = inputs(pos, mean, scale)
-    first = Model(mean, scale, fit_nnpu(second_moments(z[side == 0]), sums[0] / n[0], 0.5), 0.5)
+    ridge = 0.01 + 16 / len(pos)  # as that many rows, so that few positives don't decide alone
+    first = Model(mean, scale, fit_nnpu(second_moments(z[side == 0]), sums[0] / n[0], 0.5, ridge), 0.5)
     scores = first.logits(pos[side == 1])
     at = np.quantile(scores, np.linspace(0.02, 0.7, 35))
     prior = prior_of(scores, *counts_above(rows.where("half = 1"), first, at), at)
     drop(rows)
-    return Model(mean, scale, fit_nnpu(second_moments(z), sums.sum(axis=0) / n.sum(), prior), prior)
+    return Model(mean, scale, fit_nnpu(second_moments(z), sums.sum(axis=0) / n.sum(), prior, ridge), prior)
 
 
 def score_quality(docs: DataFrame, model: Model | None, column: str = "score") -> DataFrame:
