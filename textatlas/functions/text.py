@@ -45,10 +45,18 @@ def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.str.normalize("NFKC")
 
 
+#: Characters that NFKC leaves alone, as long as no other one is in the text: ASCII, precomposed Latin letters, quotation marks.
+NFKC_STABLE = "\x00-\x7f\u00c0-\u0131\u2018-\u201e"
+
+
 def normalize_text(text: Column, nfkc: bool = True) -> Column:
-    """Font artefacts, then dashes, then NFKC, for which there is no native function; nfkc=False leaves it out."""
+    """Font artefacts, then dashes, then NFKC, for which there is no native function: only texts that it may change go to
+    Python. nfkc=False leaves it out."""
     out = unify_dashes(remap_font_artifacts(text))
-    return _nfkc(out) if nfkc else out
+    if not nfkc:
+        return out
+    changed = _nfkc(F.when(out.rlike(f"[^{NFKC_STABLE}]"), out))
+    return F.coalesce(changed, out)
 
 
 def drop_numbering(text: Column) -> Column:

@@ -43,7 +43,11 @@ def coherence_topics(topics: DataFrame, k: int = 6) -> DataFrame:
     return kinds.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("concept", "kind", "rank", "topic_name", "entropy", "topic_total")
 
 
-def force_layout(weights: np.ndarray, steps: int = 300, repulsion: float = 0.02, attraction: float = 0.02) -> np.ndarray:
+#: Steps and strengths of the layout.
+STEPS, REPULSION, ATTRACTION = 300, 0.02, 0.02
+
+
+def force_layout(weights: np.ndarray, steps: int = STEPS, repulsion: float = REPULSION, attraction: float = ATTRACTION) -> np.ndarray:
     """Positions (n, 2) of n concepts: from the unit circle, all repel each other by the square of their distance, edges
     attract by the share of their summed weights. A few dozen nodes."""
     n = len(weights)

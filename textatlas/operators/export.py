@@ -87,3 +87,18 @@ def subject_topic_summary(docs: DataFrame, subject: str, topic: str) -> DataFram
             F.struct(F.lit(2).alias("place"), F.lit("-" * 50).alias("line")),
         )).alias("x"))
     return rows.unionByName(head.select(subject, "x.place", "x.line"))
+
+
+def numbered(df: DataFrame, order: list[str], path: str, name: str = "id") -> DataFrame:
+    """df with `name`, each row's place from 1 in the order of the columns, nulls first; rows alike in them in any order.
+
+    Range-partitioned and sorted rows are written under `path`, a new folder that all executors share, and read again, so that
+    every count is of the same parts; a part's first place is the sum of the parts before, a row a part."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id())
+    ranged.write.parquet(path)
+    rows = df.sparkSession.read.schema(ranged.schema).parquet(path).withColumn("__part", F.shiftright("__m", 33))
+    parts = rows.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.join(F.broadcast(parts.select("__part", before.alias("__before"))), "__part")
+    inside = F.col("__m") - F.shiftleft("__part", 33)
+    return placed.select(*df.columns, (F.col("__before") + inside + 1).alias(name))

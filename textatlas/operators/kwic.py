@@ -1,8 +1,10 @@
 """Keyword in context: every occurrence of a concept dictionary's variants, with the words around it.
 
-A document is cleaned once and split into words once. A variant that is one run of word characters is found by an equi-join of
-the text's runs with the dictionary, in lower case; the dictionary side is broadcast when it is small. A variant of several
-runs is found by splitting the text at it. Either way an occurrence is a word number, and the excerpt a slice of the words.
+A document is cleaned once and split into words once. The runs of word characters that begin a variant are looked up in each
+text, in lower case: in a set inside the expression while the dictionary is small; else texts' distinct runs are joined
+with it, under a key of the text, and each text gets its own list. Only occurrences are exploded. A variant of several
+runs is found by splitting the texts that hold its first run. Either way an occurrence is a word number, and the excerpt
+a slice of the words.
 """
 
 from __future__ import annotations
@@ -43,54 +45,64 @@ def _is_case_sensitive(variant: Column) -> Column:
     return variant.isin(*CASE_SENSITIVE)
 
 
-def prepared(docs: DataFrame, text: str = "text", nfkc: bool = False) -> DataFrame:
+def prepared(docs: DataFrame, text: str = "text", nfkc: bool = True) -> DataFrame:
     """docs with `words`, the words of the normalised and cleaned text; without the text itself."""
     value = clean_text(normalize_text(F.coalesce(F.col(text), F.lit("")), nfkc))
     return docs.select(*[c for c in docs.columns if c != text], F.array_remove(F.split(value, " "), "").alias("words"))
 
 
-def find_terms(docs: DataFrame, dictionary: DataFrame, context: int = CONTEXT_WORDS, text: str = "text", nfkc: bool = False) -> DataFrame:
+def _runs(words: Column) -> Column:
+    """Structs (pos, run): the runs of word characters of each word."""
+    # no regular expression for each word: punctuation becomes one mark, and a split at a single mark is quick
+    marks = F.lit("\x01")
+    return F.flatten(
+        F.transform(words, lambda w, i: F.transform(F.split(F.translate(w, _PUNCTUATION, "\x01" * len(_PUNCTUATION)), marks), lambda r: F.struct(i.alias("pos"), r.alias("run"))))
+    )
+
+
+def _hits(base: DataFrame, keys: DataFrame, most_in_set: int) -> tuple[DataFrame, Column]:
+    """base, and a column of the runs (pos, run) that are among keys(__key) in lower case; texts without one may be left out.
+
+    To be exploded as it is: an attribute of it would be filtered for emptiness first, and so computed twice."""
+    few = keys.distinct().limit(most_in_set + 1).collect()
+    if len(few) <= most_in_set:
+        wanted = [r[0] for r in few]
+        return base, F.filter(_runs(F.col("words")), lambda r: F.lower(r["run"]).isin(wanted) if wanted else F.lit(False))
+    keyed = base.withColumn("__text", F.sha2(F.array_join("words", " "), 256))
+    runs = F.array_distinct(F.transform(_runs(F.col("words")), lambda r: F.lower(r["run"])))
+    found = keyed.select("__text", F.explode(runs).alias("__key")).join(keys.distinct(), "__key")
+    own = found.groupBy("__text").agg(F.collect_set("__key").alias("__own"))  # at most a text's words
+    return keyed.join(own, "__text"), F.filter(_runs(F.col("words")), lambda r: F.array_contains("__own", F.lower(r["run"])))
+
+
+def find_terms(docs: DataFrame, dictionary: DataFrame, context: int = CONTEXT_WORDS, text: str = "text", nfkc: bool = True, most_in_set: int = 10_000) -> DataFrame:
     """docs' other columns, search_term, match_term, text_excerpt, excerpt_length, lemma_ord, variant_ord, pos.
 
     A row for each occurrence of each dictionary row: repeated and case variants count again. Matching is on whole runs
     of word characters in any case, but for the case-sensitive variants. pos: the word's number from 0. Null and
-    empty texts have no rows."""
+    empty texts have no rows. nfkc: ligatures and other compatibility forms are matched as their plain letters."""
     base = prepared(docs, text, nfkc)
     keep = [c for c in base.columns if c != "words"]
-    single = broadcast_if_small(
-        dictionary.where(_is_one_run(F.col("variant"))).select(
-            F.lower("variant").alias("__key"), "lemma", "lemma_ord", "variant", "variant_ord"
-        )
-    )
-    # no regular expression for each word: punctuation becomes one mark, and a split at a single mark is quick
-    runs = F.flatten(
-        F.transform(
-            "words",
-            lambda w, i: F.transform(
-                F.split(F.translate(w, _PUNCTUATION, "\x01" * len(_PUNCTUATION)), "\x01"), lambda r: F.struct(i.alias("pos"), r.alias("run"))
-            ),
-        )
-    )
-    exploded = base.select(*keep, "words", F.explode(runs).alias("__r"))
-    hits = exploded.join(single, F.lower("__r.run") == F.col("__key")).where(
+    single = dictionary.where(_is_one_run(F.col("variant"))).select(F.lower("variant").alias("__key"), "lemma", "lemma_ord", "variant", "variant_ord")
+    texts, found = _hits(base, single.select("__key"), most_in_set)
+    exploded = texts.select(*keep, "words", F.explode(found).alias("__r"))
+    hits = exploded.join(broadcast_if_small(single), F.lower("__r.run") == F.col("__key")).where(
         ~_is_case_sensitive(F.col("variant")) | (F.col("__r.run") == F.col("variant"))
     )
     out = _rows(hits, keep, F.col("__r.pos"), context)
     several = dictionary.where(~_is_one_run(F.col("variant")))
     if several.isEmpty():
         return out
-    return out.unionByName(_rows(_phrase_hits(base, several, keep), keep, F.col("__pos"), context))
+    return out.unionByName(_rows(_phrase_hits(base, several, keep, most_in_set), keep, F.col("__pos"), context))
 
 
-def _phrase_hits(base: DataFrame, several: DataFrame, keep: list[str]) -> DataFrame:
+def _phrase_hits(base: DataFrame, several: DataFrame, keep: list[str], most_in_set: int) -> DataFrame:
     """Occurrences of variants of several runs: the text is split at each, and blanks before a piece's end are counted.
 
     Joined on the variant's first run in lower case, so only texts that hold it are split."""
     several = several.withColumn("__first", F.lower(F.regexp_extract("variant", r"(?U)\w+", 0)))
-    firsts = F.array_distinct(
-        F.flatten(F.transform("words", lambda w: F.transform(F.regexp_extract_all(w, F.lit(r"(?U)\w+"), F.lit(0)), F.lower)))
-    )
-    texts = base.select(*keep, "words", F.explode(firsts).alias("__run"))
+    texts, found = _hits(base, several.select(F.col("__first").alias("__key")), most_in_set)
+    texts = texts.select(*keep, "words", F.explode(F.array_distinct(F.transform(found, lambda r: F.lower(r["run"])))).alias("__run"))
     both = texts.join(broadcast_if_small(several), F.col("__run") == F.col("__first"))
     flags = F.when(_is_case_sensitive(F.col("variant")), F.lit("(?U)")).otherwise(F.lit("(?iU)"))
     start = F.when(F.col("variant").rlike(r"(?U)^\w"), F.lit(r"\b")).otherwise(F.lit(r"(?<=\w)"))

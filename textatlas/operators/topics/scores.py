@@ -6,17 +6,36 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textatlas.plans.sizing import broadcast_if_small
+
 EPS = 1e-12
 
 
-def window_terms(docs: DataFrame, doc: str, tokens: str, terms: DataFrame, window: int = 110) -> DataFrame:
-    """w, term: which of terms(term) stand in which sliding window of docs(doc, tokens). A text of up to `window` tokens is
-    one window. w: (doc, number of the window)."""
-    n = F.size(tokens)
-    starts = F.sequence(F.lit(1), F.greatest(n - window + 1, F.lit(1)))
-    places = docs.select(doc, tokens, n.alias("n"), F.posexplode(starts).alias("i", "s"))
-    one = places.select(F.struct(doc, "i").alias("w"), F.explode(F.array_distinct(F.slice(tokens, F.col("s"), F.lit(window)))).alias("term"))
-    return one.join(terms.select("term").distinct(), "term", "left_semi")
+def window_counts(docs: DataFrame, doc: str, tokens: str, topics: DataFrame, window: int = 110, block: int = 1024) -> DataFrame:
+    """topic, a, b, n: in how many sliding windows of docs(doc, tokens) the terms a and b of topics(topic, term) both stand,
+    a = b included; pairs without one have no row. A text of up to `window` tokens is one window.
+
+    Only topic terms' places leave a text. A place lies in the windows that start from `window` - 1 before it up to it; the
+    starts are cut into blocks, in a block the ends of these stretches part it into runs of windows with the same terms,
+    and a run counts as often as it is long. So a group has at most block + window places, however long the text."""
+    places = docs.select(doc, F.size(tokens).alias("n"), F.posexplode(tokens).alias("at", "term"))
+    hits = places.join(broadcast_if_small(topics.select("topic", "term").distinct()), "term")
+    last = F.greatest(F.col("n") - window, F.lit(0))
+    low, high = F.greatest(F.col("at") - (window - 1), F.lit(0)), F.least(F.col("at"), last)
+    within = hits.select(doc, "topic", "term", low.alias("low"), high.alias("high")).withColumn(
+        "block", F.explode(F.sequence(F.floor(F.col("low") / block), F.floor(F.col("high") / block)))
+    )
+    cut = F.struct(F.greatest("low", F.col("block") * block).alias("low"), F.least("high", F.col("block") * block + block - 1).alias("high"), F.col("term").alias("term"))
+    own = within.groupBy(doc, "topic", "block").agg(F.collect_list(cut).alias("x"))
+    ends = F.array_sort(F.array_distinct(F.concat(F.transform("x", lambda x: x["low"]), F.transform("x", lambda x: x["high"] + 1))))
+    own = own.select("topic", "x", ends.alias("e"))
+    runs = own.select("topic", "x", "e", F.explode(F.sequence(F.lit(0), F.size("e") - 2)).alias("i"))
+    start = F.get("e", F.col("i"))
+    terms = F.array_distinct(F.transform(F.filter("x", lambda x: (x["low"] <= start) & (x["high"] >= start)), lambda x: x["term"]))
+    sets = runs.select("topic", F.array_sort(terms).alias("t"), (F.get("e", F.col("i") + 1) - start).alias("long")).where(F.size("t") > 0)
+    sets = sets.groupBy("topic", "t").agg(F.sum("long").alias("long"))  # before the pairs: the same few terms meet again and again
+    pairs = sets.select("topic", "t", "long", F.explode("t").alias("a")).select("topic", "long", "a", F.explode("t").alias("b"))
+    return pairs.groupBy("topic", "a", "b").agg(F.sum("long").alias("n"))
 
 
 def coherence_cv(docs: DataFrame, doc: str, tokens: str, topics: DataFrame, window: int = 110) -> DataFrame:
@@ -24,17 +43,12 @@ def coherence_cv(docs: DataFrame, doc: str, tokens: str, topics: DataFrame, wind
 
     A word's vector holds its normalised pointwise mutual information with each word of its topic; the coherence is the
     mean cosine of the words' vectors with their sum. Words that never occur are left out of a topic."""
-    seen = window_terms(docs, doc, tokens, topics, window)
+    joint = window_counts(docs, doc, tokens, topics, window)
     total = docs.select(F.greatest(F.size(tokens) - window + 1, F.lit(1)).alias("k")).agg(F.sum("k")).scalar()
-    single = seen.groupBy("term").agg(F.count("*").alias("n"))
-    # topic terms of a window: at most as many as a topic has
-    inside = seen.join(topics.select("topic", "term"), "term").groupBy("w", "topic").agg(F.collect_set("term").alias("t"))
-    pairs = inside.select("topic", F.explode("t").alias("a"), "t").select("topic", "a", F.explode("t").alias("b"))
-    joint = pairs.groupBy("topic", "a", "b").agg(F.count("*").alias("n_ab"))
-    own = topics.select("topic", "term").join(single, "term")
-    left = own.select("topic", F.col("term").alias("a"), F.col("n").alias("n_a"))
-    right = own.select("topic", F.col("term").alias("b"), F.col("n").alias("n_b"))
-    grid = left.join(right, "topic").join(joint, ["topic", "a", "b"], "left")
+    single = joint.where("a = b")
+    left = single.select("topic", "a", F.col("n").alias("n_a"))
+    right = single.select("topic", "b", F.col("n").alias("n_b"))
+    grid = left.join(right, "topic").join(joint.withColumnRenamed("n", "n_ab"), ["topic", "a", "b"], "left")
     p = F.coalesce("n_ab", F.lit(0)) / total
     npmi = F.log((p + EPS) / (F.col("n_a") / total * F.col("n_b") / total)) / -F.log(p + EPS)
     vectors = grid.select("topic", "a", "b", npmi.alias("x"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textatlas.functions.stopwords import base_stopwords
-from textatlas.functions.text import lda_words, topic_tokens, with_bigrams, word_count
+from textatlas.functions.text import content_focused, lda_words, topic_tokens, with_bigrams, word_count
 from textatlas.operators import export, kwic, matrix
 from textatlas.operators.quality import drop_blank, require_columns
 from textatlas.operators.topics import clusters, dtm, lda, scores
@@ -78,21 +78,78 @@ def topic_run(excerpts: DataFrame, config: RunConfig) -> dict[str, dict[str, Dat
     return out
 
 
+def merged(points: DataFrame, counts: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """points(topic) and counts(topic, term, n) with at most `most` topics, the outliers counted, by merge_topics()."""
+    sizes = {r[0]: r[1] for r in points.groupBy("topic").count().collect()}
+    top = dtm.top_terms(dtm.class_tfidf(counts, "topic"), "topic", 200)
+    weights: dict[int, dict[str, float]] = {t: {} for t in sizes}
+    for r in top.select("topic", "term", "weight").collect():  # 200 terms of a few dozen topics
+        weights[r[0]][r[1]] = r[2]
+    to = clusters.merge_topics(weights, sizes, most)
+    new = F.create_map(*[F.lit(x) for p in to.items() for x in p])[F.col("topic")]
+    return points.withColumn("topic", new), counts.withColumn("topic", new).groupBy("topic", "term").agg(F.sum("n").alias("n"))
+
+
+def embedding_terms_at_k(points: DataFrame, counts: DataFrame, k: int, top_n: int = 10) -> DataFrame:
+    """topic, term, rank: the top_n terms of each topic, the outliers' left out, after merging down to k topics, the outliers
+    counted. Of points(topic) and counts(topic, term, n), which stay as they are if they have no more; so one clustering
+    serves every k."""
+    _, fewer = merged(points, counts, k)
+    top = dtm.top_terms(dtm.class_tfidf(fewer, "topic"), "topic", top_n)
+    return top.where((F.col("topic") != -1) & (F.trim("term") != "")).select("topic", "term", "rank")
+
+
+def lda_terms_at_k(docs: DataFrame, k: int, top_n: int = 10, epochs: int = 20, vocabulary: int | None = 5000) -> DataFrame:
+    """topic, term, rank: the top_n terms of each of k topics, fitted anew on docs(doc_id, tokens), with the sweep's min_df."""
+    fitted = lda.fit_lda(docs, "doc_id", "tokens", k, dtm.adaptive_min_df(docs.count()), epochs=epochs, vocabulary=vocabulary)
+    try:
+        top = dtm.top_terms(fitted.topic_terms().withColumnRenamed("topic_id", "topic"), "topic", top_n)
+        return top.where(F.trim("term") != "").select("topic", "term", "rank")
+    finally:
+        fitted.release()
+
+
+def terms_at(docs: DataFrame, k: int, top_n: int = 10, epochs: int = 20, n_clusters: int = 20, seed: int = 42) -> dict[str, DataFrame]:
+    """Topics(topic, term) of docs(doc_id, text, embedding) by both methods: what sweep() compares."""
+    tokens = docs.select("doc_id", lda_words(F.col("text"), base_stopwords()).alias("tokens"))
+    points, counts = clustered(docs, n_clusters, seed)
+    return {"embedding": embedding_terms_at_k(points, counts, k, top_n), "lda": lda_terms_at_k(tokens, k, top_n, epochs)}
+
+
+def clustered(docs: DataFrame, n_clusters: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """docs with topic, and counts(topic, term, n) of their tokens and pairs of tokens."""
+    least = clusters.min_cluster_size(n := docs.count())
+    points = clusters.cluster(docs, "embedding", max(2, min(n_clusters, n // least)), min_size=least, seed=seed)
+    tokens = points.select("topic", F.explode(with_bigrams(topic_tokens(F.col("text"), base_stopwords()))).alias("term"))
+    return points, tokens.groupBy("topic", "term").agg(F.count("*").alias("n"))
+
+
+def content_context(docs: DataFrame, strip_terms: list[str], top: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """What is left of texts without boilerplate terms, and the topics found in it, for docs(concept, text, topic).
+
+    1. concept, n_docs, raw_words, kept_words, percent (of the words that go), n_topics, outlier_percent, without the outliers
+    among the topics. 2. concept, rank, topic, n, terms: the eight largest topics, ties by topic, with their first five
+    terms of top(concept, topic, term, rank), if given."""
+    kept = docs.select("concept", "topic", word_count(F.col("text")).alias("a"), word_count(content_focused(F.col("text"), strip_terms)).alias("b"))
+    out = kept.groupBy("concept").agg(
+        F.count("*").alias("n_docs"), F.sum("a").alias("raw_words"), F.sum("b").alias("kept_words"),
+        F.count_distinct(F.when(F.col("topic") != -1, F.col("topic"))).alias("n_topics"), F.count_if(F.col("topic") == -1).alias("out"),
+    )
+    percent = F.coalesce(F.round(100 * F.try_divide(F.col("raw_words") - F.col("kept_words"), F.col("raw_words")), 1), F.lit(0.0))
+    summary = out.select("concept", "n_docs", "raw_words", "kept_words", percent.alias("percent"), "n_topics", F.round(100 * F.col("out") / F.col("n_docs"), 1).alias("outlier_percent"))
+    sizes = docs.where("topic <> -1").groupBy("concept", "topic").agg(F.count("*").alias("n"))
+    largest = matrix.top_per_group(sizes, ["concept"], [F.desc("n"), F.col("topic")], 8)
+    if top is not None:
+        five = top.where("rank <= 5").groupBy("concept", "topic").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("t"))
+        largest = largest.join(five.select("concept", "topic", F.transform("t", lambda x: x["term"]).alias("terms")), ["concept", "topic"], "left")
+    return summary, largest
+
+
 def _one_concept(docs: DataFrame, concept: str, config: RunConfig) -> dict[str, DataFrame]:
-    spark, n = docs.sparkSession, docs.count()
-    k = max(2, min(config.n_clusters, n // clusters.min_cluster_size(n)))
-    points = clusters.cluster(docs, "embedding", k, min_size=clusters.min_cluster_size(n), seed=config.seed)
-    tokens = points.select("doc_id", "topic", with_bigrams(topic_tokens(F.col("text"), base_stopwords())).alias("tokens"))
-    counts = tokens.select("topic", F.explode("tokens").alias("term")).groupBy("topic", "term").agg(F.count("*").alias("n"))
+    spark = docs.sparkSession
+    points, counts = clustered(docs, config.n_clusters, config.seed)
     if config.nr_topics > 0:
-        sizes = {r[0]: r[1] for r in points.groupBy("topic").count().collect()}
-        top = dtm.top_terms(dtm.class_tfidf(counts, "topic"), "topic", 200)
-        weights: dict[int, dict[str, float]] = {t: {} for t in sizes}
-        for r in top.select("topic", "term", "weight").collect():  # 200 terms of a few dozen topics
-            weights[r[0]][r[1]] = r[2]
-        to = clusters.merge_topics(weights, sizes, config.nr_topics)
-        new = F.create_map(*[F.lit(x) for p in to.items() for x in p])[F.col("topic")]
-        points, counts = points.withColumn("topic", new), counts.withColumn("topic", new).groupBy("topic", "term").agg(F.sum("n").alias("n"))
+        points, counts = merged(points, counts, config.nr_topics)
     top = dtm.top_terms(dtm.class_tfidf(counts, "topic"), "topic", config.top_n)
     own = [(int(t), label) for t, label in config.overrides.get(concept, {}).items()]
     labels = clusters.topic_labels(points, top, spark.createDataFrame(own, "topic int, label string") if own else None)
@@ -127,13 +184,14 @@ def lda_run(excerpts: DataFrame, concept: str, k_values: tuple[int, ...] = lda.K
             "relevance": lda.relevance_table(terms, totals),
             "dominant": dominant,
             "by_subject": lda.topics_by_subject(dominant.join(docs.select("doc_id", "subject"), "doc_id"), "subject", k),
+            "coordinates": lda.topic_coordinates(terms),
             "global": fitted.global_summary(),
             "summary": lda.topic_summary(terms, topics, "doc_id"),
         }
     return out
 
 
-def sweep(excerpts: DataFrame, concepts: list[str], k_values: tuple[int, ...], path: str, terms_at: Callable[[DataFrame, int], dict[str, DataFrame]], resume: bool = True) -> DataFrame:
+def sweep(excerpts: DataFrame, concepts: list[str], k_values: tuple[int, ...], path: str, terms_at: Callable[[DataFrame, int], dict[str, DataFrame]] = terms_at, resume: bool = True) -> DataFrame:
     """concept, k, method, n_topics, coherence, agreement, kept in one partition a concept; concepts in the report are skipped.
 
     terms_at(docs, k) gives topics(topic, term) by method. A concept that fails is logged, and tried again on the next run."""

@@ -215,20 +215,20 @@ def kwic_stream(spark, d):
 
 @query(f"SELECT doc_id, md5({CLEAN}) AS h, length({CLEAN}) AS n FROM documents")
 def clean_documents(spark, d):
-    c = text.clean_text(text.normalize_text(F.coalesce("text", F.lit("")), nfkc=False))
+    c = text.clean_text(text.normalize_text(F.coalesce("text", F.lit(""))))
     return table(spark, d, "documents").select("doc_id", c.alias("c")).select("doc_id", F.md5("c").alias("h"), F.length("c").cast("long").alias("n"))
 
 
-@query(f"SELECT doc_id, md5(nfc_normalize({NORMAL})) AS h FROM documents WHERE regexp_full_match({NORMAL}, '[\\x00-\\x7FäöüÄÖÜßéèêëçñÉÈÊËÇÑáíóúÁÍÓÚàâîôûù]*')")
+@query(f"SELECT doc_id, md5(nfc_normalize({NORMAL})) AS h FROM documents")
 def normalize_documents(spark, d):
-    n = text.normalize_text(F.coalesce("text", F.lit("")))
-    out = table(spark, d, "documents").select("doc_id", n.alias("n"))
-    return out.where(F.col("n").rlike(r"^[\x00-\x7FäöüÄÖÜßéèêëçñÉÈÊËÇÑáíóúÁÍÓÚàâîôûù]*\z")).select("doc_id", F.md5("n").alias("h"))
+    """The SQL has no NFKC; on these tables, whose letters are all precomposed, NFC gives the same. tests/test_functions.py has
+    other letters."""
+    return table(spark, d, "documents").select("doc_id", F.md5(text.normalize_text(F.coalesce("text", F.lit("")))).alias("h"))
 
 
 @query(rf"SELECT DISTINCT doc_id, letter FROM (SELECT doc_id, unnest(regexp_extract_all({NUMBERED}, '\p{{L}}')) AS letter FROM documents) WHERE NOT regexp_matches(letter, '[{text.LETTERS}]')")
 def stripped_letters(spark, d):
-    docs = table(spark, d, "documents").withColumn("text", text.normalize_text(F.coalesce("text", F.lit("")), nfkc=False))
+    docs = table(spark, d, "documents").withColumn("text", text.normalize_text(F.coalesce("text", F.lit(""))))
     return quality.stripped_letter_audit(docs, "doc_id")
 
 
@@ -236,7 +236,7 @@ def stripped_letters(spark, d):
 WITH c AS (SELECT doc_id, {CLEAN} AS c FROM documents), w AS (SELECT doc_id, c, list_filter(string_split(c, ' '), lambda x: x <> '') AS ws, length(c[1:100]) - length(replace(c[1:100], ' ', '')) AS k FROM c)
 SELECT doc_id, CASE WHEN length(c) > 100 THEN array_to_string(ws[greatest(k - 10, 0) + 1:k + 11], ' ') END AS context FROM w""")
 def word_contexts(spark, d):
-    c = text.clean_text(text.normalize_text(F.coalesce("text", F.lit("")), nfkc=False))
+    c = text.clean_text(text.normalize_text(F.coalesce("text", F.lit(""))))
     return table(spark, d, "documents").select("doc_id", c.alias("c")).select("doc_id", text.word_context(F.col("c"), F.lit(100), 10).alias("context"))
 
 
@@ -375,26 +375,25 @@ def grade_bands(spark, d):
     return g.select("raw", metadata.grade_band(F.col("raw")).alias("band"), metadata.clean_subject(F.col("raw")).alias("cleaned"))
 
 
-@query(f"""
-WITH dl AS (SELECT doc_id, text, lang, regexp_replace(coalesce(text, ''), '(?i)\\b(of the|the|und)\\b', ' ', 'g') AS s FROM documents WHERE lang = 'en')
+# every run of other characters between two marks, so that a term needs a mark on both sides and no two share one
+@query(rf"""
+WITH dl AS (SELECT text, lang, replace(regexp_replace(regexp_replace(coalesce(text, ''), '([^\p{{L}}\p{{N}}_]+)', chr(1) || '\1' || chr(1), 'g'), '(?i)(^|\x01)(of\x01 \x01the|the|und)($|\x01)', ' ', 'g'), chr(1), '') AS s FROM documents)
 SELECT lang, sum(len({WORDS}))::BIGINT AS raw_words, sum(len({WORDS.replace("text", "s")}))::BIGINT AS kept_words,
-       round(100.0 * (sum(len({WORDS})) - sum(len({WORDS.replace("text", "s")}))) / sum(len({WORDS})), 1) AS percent FROM (SELECT * FROM dl WHERE regexp_full_match(text, '[\\x00-\\x7F]*')) GROUP BY lang""")
+       round(100.0 * (sum(len({WORDS})) - sum(len({WORDS.replace("text", "s")}))) / nullif(sum(len({WORDS})), 0), 1) AS percent FROM dl GROUP BY lang""")
 def content_focus(spark, d):
-    docs = table(spark, d, "documents").where((F.col("lang") == "en") & F.col("text").rlike(r"^[\x00-\x7F]*\z"))
+    docs = table(spark, d, "documents")
     kept = docs.select("lang", text.word_count(F.col("text")).alias("a"), text.word_count(text.content_focused(F.col("text"), ["the", "und", "of the"])).alias("b"))
     out = kept.groupBy("lang").agg(F.sum("a").alias("raw_words"), F.sum("b").alias("kept_words"))
     return out.withColumn("percent", F.round(100 * F.try_divide(F.col("raw_words") - F.col("kept_words"), F.col("raw_words")), 1))
 
 
 @query("""
-SELECT row_number() OVER (ORDER BY o_orderkey)::INTEGER AS id, coalesce(nullif(o_orderstatus, ''), '—') AS status, './data/txtfiles/' || o_orderstatus || '/LP%20' || o_orderkey || '.txt' AS link
-FROM orders WHERE o_orderkey <= 200""")
+SELECT row_number() OVER (ORDER BY o_orderkey) AS id, coalesce(nullif(o_orderstatus, ''), '—') AS status, './data/txtfiles/' || o_orderstatus || '/LP%20' || o_orderkey || '.txt' AS link
+FROM orders""")
 def document_rows(spark, d):
-    from pyspark.sql import Window as W
-
-    o = table(spark, d, "orders").where("o_orderkey <= 200").withColumn("name", F.concat(F.lit("LP "), F.col("o_orderkey").cast("string"), F.lit(".PDF")))
-    return o.select(
-        F.row_number().over(W.orderBy("o_orderkey")).alias("id"), F.coalesce(F.nullif("o_orderstatus", F.lit("")), F.lit("—")).alias("status"),
+    o = table(spark, d, "orders").withColumn("name", F.concat(F.lit("LP "), F.col("o_orderkey").cast("string"), F.lit(".PDF")))
+    return export.numbered(o, ["o_orderkey"], scratch(spark)).select(
+        "id", F.coalesce(F.nullif("o_orderstatus", F.lit("")), F.lit("—")).alias("status"),
         metadata.text_link(F.col("o_orderstatus"), F.col("name")).alias("link"),
     )
 
@@ -767,17 +766,49 @@ def bridge_topics(spark, d):
 
 
 @query(rf"""
-WITH {CTFIDF}, five AS (SELECT topic, term FROM top WHERE rank <= 5), doc AS (SELECT d.doc_id, list_distinct({TOKENS.replace('text', 'd.text')}) AS t FROM documents d),
-dw AS (SELECT doc_id, unnest(t) AS term FROM doc), total AS (SELECT count(*)::DOUBLE AS k FROM doc), ss AS (SELECT doc_id, term FROM dw SEMI JOIN five USING (term)),
-n1 AS (SELECT term, count(*) AS n FROM ss GROUP BY term), pr AS (SELECT f.topic, f.term AS a, g.term AS b, na.n AS na, nb.n AS nb, (SELECT count(*) FROM ss x JOIN ss y USING (doc_id) WHERE x.term = f.term AND y.term = g.term) AS nab FROM five f JOIN five g USING (topic) JOIN n1 na ON na.term = f.term JOIN n1 nb ON nb.term = g.term),
+WITH {CTFIDF}, five AS (SELECT topic, term FROM top WHERE rank <= 5), doc AS (SELECT d.doc_id, {TOKENS.replace('text', 'd.text')} AS t FROM documents d),
+total AS (SELECT sum(greatest(len(t) - 109, 1))::DOUBLE AS k FROM doc),
+hit AS (SELECT doc_id, greatest(len(t) - 109, 1) AS last, i, t[i] AS term FROM doc, unnest(range(1, len(t) + 1)) AS x(i) WHERE t[i] IN (SELECT term FROM five)),
+ss AS MATERIALIZED (SELECT DISTINCT doc_id, s, term FROM hit, unnest(range(greatest(i - 109, 1), least(i, last) + 1)) AS x(s)),
+n1 AS (SELECT term, count(*) AS n FROM ss GROUP BY term), n2 AS (SELECT x.term AS a, y.term AS b, count(*) AS n FROM ss x JOIN ss y USING (doc_id, s) GROUP BY ALL),
+pr AS (SELECT f.topic, f.term AS a, g.term AS b, na.n AS na, nb.n AS nb, coalesce(n2.n, 0) AS nab FROM five f JOIN five g USING (topic) JOIN n1 na ON na.term = f.term JOIN n1 nb ON nb.term = g.term LEFT JOIN n2 ON n2.a = f.term AND n2.b = g.term),
 v AS (SELECT topic, a, b, ln((nab / k + 1e-12) / (na / k * nb / k)) / -ln(nab / k + 1e-12) AS x FROM pr, total), sm AS (SELECT topic, b, sum(x) AS y FROM v GROUP BY ALL),
 c AS (SELECT topic, a, sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))) AS c FROM v JOIN sm USING (topic, b) GROUP BY ALL)
 SELECT topic, round(avg(c), 6) AS coherence FROM c GROUP BY topic""")
 def coherence_cv(spark, d):
-    """With a window over the longest text: document co-occurrence."""
     docs = table(spark, d, "documents").select("doc_id", text.topic_tokens(F.coalesce("text", F.lit("")), STOP).alias("tokens"))
     top = _top(spark, d).where("rank <= 5").select("topic", "term")
-    return scores.coherence_cv(docs, "doc_id", "tokens", top, window=1 << 30).withColumn("coherence", F.round("coherence", 6))
+    return scores.coherence_cv(docs, "doc_id", "tokens", top).withColumn("coherence", F.round("coherence", 6))
+
+
+@query(rf"""
+WITH {PRUNED}, p AS (SELECT topic_id, term, weight / sum(weight) OVER (PARTITION BY topic_id) AS p FROM weights),
+ids AS (SELECT DISTINCT topic_id FROM p), g AS (SELECT a.topic_id AS topic_a, b.topic_id AS topic_b, t.term FROM ids a JOIN ids b ON a.topic_id < b.topic_id CROSS JOIN (SELECT DISTINCT term FROM p) t),
+f AS (SELECT topic_a, topic_b, coalesce(x.p, 0) AS a, coalesce(y.p, 0) AS b FROM g LEFT JOIN p x ON x.topic_id = topic_a AND x.term = g.term LEFT JOIN p y ON y.topic_id = topic_b AND y.term = g.term)
+SELECT topic_a, topic_b, round(sum(CASE WHEN a > 0 THEN a * ln(2 * a / (a + b)) ELSE 0 END + CASE WHEN b > 0 THEN b * ln(2 * b / (a + b)) ELSE 0 END) / 2, 7) AS distance FROM f GROUP BY ALL""")
+def topic_distances(spark, d):
+    return lda.topic_distances(_weights(spark, d)[0]).withColumn("distance", F.round("distance", 7))
+
+
+_CONTEXT_SQL = rf"""
+WITH dl AS (SELECT d.lang AS concept, e.label - 1 AS topic, d.text, replace(regexp_replace(regexp_replace(coalesce(d.text, ''), '([^\p{{L}}\p{{N}}_]+)', chr(1) || '\1' || chr(1), 'g'), '(?i)(^|\x01)(of\x01 \x01the|the|und)($|\x01)', ' ', 'g'), chr(1), '') AS s
+  FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id),"""
+
+
+@query(_CONTEXT_SQL + rf"""
+w AS (SELECT concept, topic, len({WORDS}) AS a, len({WORDS.replace("text", "s")}) AS b FROM dl)
+SELECT concept, count(*) AS n_docs, sum(a)::BIGINT AS raw_words, sum(b)::BIGINT AS kept_words, coalesce(round(100.0 * (sum(a) - sum(b)) / nullif(sum(a), 0), 1), 0) AS percent,
+       count(DISTINCT topic) FILTER (WHERE topic <> -1) AS n_topics, round(100.0 * count(*) FILTER (WHERE topic = -1) / count(*), 1) AS outlier_percent FROM w GROUP BY concept""")
+def content_context(spark, d):
+    docs = _with_topic(spark, d).select(F.col("lang").alias("concept"), "text", (F.col("topic") - 1).alias("topic"))
+    return pipelines.content_context(docs, ["the", "und", "of the"])[0]
+
+
+@query(_CONTEXT_SQL.rstrip(",") + """
+SELECT concept, topic, count(*) AS n, row_number() OVER (PARTITION BY concept ORDER BY count(*) DESC, topic)::INTEGER AS rank FROM dl WHERE topic <> -1 GROUP BY concept, topic QUALIFY rank <= 8""")
+def largest_context_topics(spark, d):
+    docs = _with_topic(spark, d).select(F.col("lang").alias("concept"), "text", (F.col("topic") - 1).alias("topic"))
+    return pipelines.content_context(docs, ["the", "und", "of the"])[1]
 
 
 @query(rf"""
@@ -803,10 +834,28 @@ def method_agreement(spark, d):
 @query()
 def lda_topics(spark, d):
     docs = table(spark, d, "documents").select("doc_id", text.lda_words(F.col("text"), STOP).alias("tokens"))
-    fitted = lda.fit_lda(docs, "doc_id", "tokens", 5, vocabulary=5000)
+    fitted = lda.fit_lda(docs, "doc_id", "tokens", 5, vocabulary=5000)  # as many terms as the vectoriser keeps by default
     return lda.topic_summary(fitted.topic_terms(), fitted.doc_topics(), "doc_id")
 
 
+@query()
+def embedding_terms_at_k(spark, d):
+    docs = _with_topic(spark, d)
+    counts = _topic_counts(spark, d).select("topic", "term", "n")
+    return pipelines.embedding_terms_at_k(docs.select("topic"), counts, 5)
+
+
+@query()
+def lda_terms_at_k(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", text.lda_words(F.col("text"), STOP).alias("tokens"))
+    return pipelines.lda_terms_at_k(docs, 5)
+
+
+@query()
+def topic_coordinates(spark, d):
+    return lda.topic_coordinates(_weights(spark, d)[0])
+
+
 @query()
 def embedding_clusters(spark, d):
     points = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
