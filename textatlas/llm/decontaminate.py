@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textatlas.llm.common import small_batches, staged
+from textatlas.plans.sizing import broadcast_if_small
 
 #: After A-Z are lower-cased: runs of digits, a-z and non-ASCII characters.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -136,8 +137,9 @@ def item_shards(benchmark: DataFrame, shard_chars: int) -> tuple[DataFrame, int]
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_chars: int = 2_000_000) -> DataFrame:
     """docs with a column `found` (FOUND): the text's words, the spans of words inside occurrences, and their items' ids.
 
-    Items go to the driver and on to the executors in shards of about `shard_chars` characters, one at a time; a benchmark
-    of several shards is one search for each over the same rows, each written before the next. Nothing is shuffled.
+    Items go to the driver and on to the executors in shards of about `shard_chars` characters. A benchmark of one shard is a
+    search in one pass, without a shuffle. One of several is a search of all texts for each, one at a time, which writes only
+    what it finds, by text; that is joined with docs at the end, by broadcast if it is small.
     Null and wordless texts and items have no windows. Items alike in id are one item, a null id is the empty text.
     Other columns pass through; one named `found` is replaced."""
     names = [c for c in small_batches(docs).columns if c != "found"]
@@ -145,23 +147,30 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, shar
     items = lambda i: [tuple(r) for r in dealt.where(F.col("shard") == i).select("item_id", "text").collect()]
     if n == 1:
         return docs.select(*names, _searched(items(0), window)("text").alias("found"))
-    out = docs.select(*names)
+    hits, key = None, [F.xxhash64("text").alias("__h1"), F.xxhash64(F.lit(1), "text").alias("__h2")]
     for i in range(n):
-        out = staged(out.withColumn(f"__found{i}", _searched(items(i), window)("text")), "found")
+        found = docs.select(*key, _searched(items(i), window)("text").alias("f")).where(F.size("f.spans") > 0)
+        found = staged(found.groupBy("__h1", "__h2").agg(F.first("f.spans").alias("spans"), F.first("f.item_ids").alias("ids")), "found")
+        hits = found if hits is None else hits.unionByName(found)
     merge = F.pandas_udf(
         lambda spans: spans.map(lambda x: [{"a": a, "b": b} for a, b in merged([(s["a"], s["b"]) for s in x])]),
         "array<struct<a: int, b: int>>",
     )
-    spans = merge(F.concat(*[F.col(f"__found{i}.spans") for i in range(n)]))
-    ids = F.array_sort(F.array_distinct(F.concat(*[F.col(f"__found{i}.item_ids") for i in range(n)])))
-    return out.select(*names, F.struct(F.col("__found0.n_words").alias("n_words"), spans.alias("spans"), ids.alias("item_ids")).alias("found"))
+    # of a text, at most one row a shard
+    per_text = hits.groupBy("__h1", "__h2").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
+    per_text = staged(per_text.select("__h1", "__h2", merge("spans").alias("spans"), "ids"), "found")
+    n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
+    none = F.struct(n_words.alias("n_words"), F.coalesce("spans", F.array()).alias("spans"), F.coalesce("ids", F.array()).alias("item_ids"))
+    both = docs.select(*names, *key).join(broadcast_if_small(per_text), ["__h1", "__h2"], "left")
+    return both.select(*names, none.cast(FOUND).alias("found"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, **parameters) -> DataFrame:
     """doc_id, n_words, n_hit, n_items (long), items_sha256, contaminated, spans, item_ids: a row per document.
 
     n_hit: words inside any occurrence of a window. items_sha256: of the ids of items with occurring windows, sorted as
-    strings and comma-joined (of the empty text if there are none)."""
+    strings and comma-joined (of the empty text if there are none). Repeated rows and null ids each get their row; empty
+    tables of documents give no rows, of items no occurrence."""
     found = find_benchmark(docs.select("doc_id", "text"), benchmark, window, **parameters)
     n_hit = F.aggregate("found.spans", F.lit(0).cast("long"), lambda acc, s: acc + s["b"] - s["a"])
     return found.select(
@@ -177,7 +186,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, **par
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, **parameters) -> DataFrame:
-    """The rows of docs without an occurrence of a benchmark window."""
+    """The rows of docs without an occurrence of a benchmark window: null and wordless texts stay, repeated rows too."""
     wrapped = docs.select("text", F.struct(*docs.columns).alias("__row"))
     found = find_benchmark(wrapped, benchmark, window, **parameters)
     return found.where(F.size("found.spans") == 0).select("__row.*")
