@@ -1,6 +1,6 @@
 """Mixing sources to target weights, by hash-random order and distributed prefix sums. DataFrame functions only.
 
-Every document gets a random but fixed key, the MD5 of seed and id. Within a source, documents are ranged by key into
+Every document gets a random but fixed key, the MD5 of seed and id (of the text where there is no id). Within a source, documents are ranged by key into
 `ranges` slices of equal width; the slices' sums give each slice its offset, and a running sum inside the slice gives each
 document its exact place. No task holds more than one slice of one source. A source's words are then taken in that
 order up to its budget: whole epochs first, and the last one cut at the exact word.
@@ -63,10 +63,11 @@ def mix(
     """doc_id, size, source, source_size, target, taken: a row per document of docs(doc_id, text, source).
 
     size: words of the text, null 0. taken: words that the mix takes of it, repeats counted; a source's sum to the floor
-    of its target. Equal ids are told apart by size only, and rows alike in both are interchangeable; a null id orders as
-    the empty text. A null source is a source. Empty tables give no rows, sources without a word take none. Other columns
+    of its target. Equal ids are told apart by size only, and rows alike in both are interchangeable; a null id has
+    the text in its place, so that rows without ids are dealt over all slices. A null source is a source. Empty tables give no rows, sources without a word take none. Other columns
     are ignored. `range_digits` hexadecimal digits of the key make a slice: 4,096 slices a source."""
-    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    named = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit(":"), F.coalesce("text", F.lit(""))))
+    key = F.md5(F.concat(F.lit(seed + ":"), named))
     sized = staged(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("key")), "sizes")
     sized = sized.withColumn("slice", F.substring("key", 1, range_digits))
     slices = sized.groupBy("source", "slice").agg(F.sum("size").alias("size"))

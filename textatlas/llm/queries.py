@@ -182,7 +182,7 @@ FROM doc d LEFT JOIN kept k USING (rid)
     "op5_mixing": r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), ':' || coalesce(text, ''))) AS key
   FROM documents
 ), per AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
