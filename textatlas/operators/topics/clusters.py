@@ -1,7 +1,7 @@
 """Embedding clusters: projection, clustering with an outlier bucket, merging down to a ceiling, labels.
 
-Topic -1 holds the outliers. Clustering is k-means with a distance rule; results agree with density clustering in form
-(ceiling, outliers, determinism), not number by number.
+Topic -1 holds the outliers. Clustering is by density (topics.density), or k-means with a distance rule where the number of
+clusters is given. The projection is linear, so results agree in form, not number by number.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from textatlas.functions.text import title_case
 from textatlas.operators.matrix import top_per_group
+from textatlas.operators.topics.density import cluster_density
 
 #: Most topics of a production run, with the outliers; label of the outliers.
 CEILING = 31
@@ -64,6 +65,16 @@ def cluster(points: DataFrame, vector: str, k: int, outlier_share: float = 0.05,
     return marked.withColumn("topic", topic.cast("int")).drop("__c")
 
 
+def density_topics(points: DataFrame, vector: str, min_size: int, dims: int = 5, seed: int = 42) -> DataFrame:
+    """points and topic: clusters by density, which sets the number of topics and of outliers, in the first `dims` principal
+    components (fewer for vectors or tables that have less)."""
+    length = points.select(F.max(F.size(vector))).first()[0] or 0
+    if length <= dims:
+        return cluster_density(points, vector, min_size)
+    placed = project(points, vector, dims, "__xyz", places=9, seed=seed)
+    return cluster_density(placed, "__xyz", min_size).drop("__xyz")
+
+
 def merge_topics(weights: dict[int, dict[str, float]], sizes: dict[int, int], ceiling: int = CEILING) -> dict[int, int]:
     """old -> new topic ids so that at most `ceiling` topics are left, the outliers counted if there are any: the smallest
     topic goes to the one of most similar (cosine) term weights, again and again. Never splits. A few dozen topics."""

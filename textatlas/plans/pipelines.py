@@ -45,11 +45,12 @@ def keyword_search(docs: DataFrame, dictionary: DataFrame, context: int = kwic.C
 
 @dataclass
 class RunConfig:
-    """Parameters of an embedding-topic run; nr_topics of 0 or less leaves the number of topics open."""
+    """Parameters of an embedding-topic run; nr_topics of 0 or less leaves the number of topics open. n_clusters: of k-means, in
+    place of clusters by density."""
 
     concepts: list[str] | None = None
     nr_topics: int = clusters.CEILING
-    n_clusters: int = 20
+    n_clusters: int | None = None
     top_n: int = 20
     overrides: dict[str, dict[str, str]] = field(default_factory=dict)
     dry_run: bool = False
@@ -109,17 +110,20 @@ def lda_terms_at_k(docs: DataFrame, k: int, top_n: int = 10, epochs: int = 20, v
         fitted.release()
 
 
-def terms_at(docs: DataFrame, k: int, top_n: int = 10, epochs: int = 20, n_clusters: int = 20, seed: int = 42) -> dict[str, DataFrame]:
+def terms_at(docs: DataFrame, k: int, top_n: int = 10, epochs: int = 20, n_clusters: int | None = None, seed: int = 42) -> dict[str, DataFrame]:
     """Topics(topic, term) of docs(doc_id, text, embedding) by both methods: what sweep() compares."""
     tokens = docs.select("doc_id", lda_words(F.col("text"), base_stopwords()).alias("tokens"))
     points, counts = clustered(docs, n_clusters, seed)
     return {"embedding": embedding_terms_at_k(points, counts, k, top_n), "lda": lda_terms_at_k(tokens, k, top_n, epochs)}
 
 
-def clustered(docs: DataFrame, n_clusters: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """docs with topic, and counts(topic, term, n) of their tokens and pairs of tokens."""
+def clustered(docs: DataFrame, n_clusters: int | None, seed: int) -> tuple[DataFrame, DataFrame]:
+    """docs with topic, and counts(topic, term, n) of their tokens and pairs of tokens. By density if n_clusters is None."""
     least = clusters.min_cluster_size(n := docs.count())
-    points = clusters.cluster(docs, "embedding", max(2, min(n_clusters, n // least)), min_size=least, seed=seed)
+    if n_clusters is None:
+        points = clusters.density_topics(docs, "embedding", least, seed=seed)
+    else:
+        points = clusters.cluster(docs, "embedding", max(2, min(n_clusters, n // least)), min_size=least, seed=seed)
     tokens = points.select("topic", F.explode(with_bigrams(topic_tokens(F.col("text"), base_stopwords()))).alias("term"))
     return points, tokens.groupBy("topic", "term").agg(F.count("*").alias("n"))
 

@@ -862,6 +862,12 @@ def embedding_clusters(spark, d):
     return clusters.cluster(points, "embedding", 10).select("doc_id", "topic")
 
 
+@query()
+def density_clusters(spark, d):
+    points = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return clusters.density_topics(points, "embedding", clusters.min_cluster_size(1 << 10)).select("doc_id", "topic")
+
+
 @query()
 def projected_points(spark, d):
     points = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
