@@ -136,11 +136,16 @@ def test_dedup_decides_by_row(make_docs):
     assert sorted(got, key=repr) == sorted([(3, a), (7, b), (9, c), (None, d), (5, "x y z"), (5, "p q r")], key=repr)
 
 
-def test_components(spark):
-    edges = [(i, i + 1) for i in range(40)] + [(100, 103), (103, 100), (7, 7), (None, 3), (200, 201)] + [(500, 500 + i) for i in range(1, 60)]
-    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
-    assert got == {i: 0 for i in range(41)} | {100: 100, 103: 100, 200: 200, 201: 200} | {500 + i: 500 for i in range(60)}
-    assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+@pytest.mark.parametrize("in_one_task", [200_000, 70, 0])
+@pytest.mark.parametrize("most", [100_000, 5])
+def test_components(spark, monkeypatch, in_one_task, most):
+    from textatlas.llm import components
+
+    monkeypatch.setattr(components, "MOST", most)
+    edges = [(i, i + 1) for i in range(40)] + [(100, 103), (103, 100), (7, 7), (None, 3), (200, 201)] + [(500, 500 + i) for i in range(1, 60)] + [(-9, -3)]
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long"), in_one_task).collect()}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 103: 100, 200: 200, 201: 200, -9: -9, -3: -9} | {500 + i: 500 for i in range(60)}
+    assert connected_components(spark.createDataFrame([], "u long, v long"), in_one_task).count() == 0
 
 
 def test_empty(make_docs):
