@@ -9,9 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from textatlas.functions import text
-from textatlas.operators import export, kwic
+from textatlas.operators import export, kwic, matrix, quality
 from textatlas.operators.topics import dtm, lda, scores
 from textatlas.plans import pipelines
+from textatlas.sources import files
 
 
 @pytest.mark.parametrize("window, block", [(4, 8), (7, 7), (110, 1024), (3, 1024)])
@@ -110,3 +111,28 @@ def test_lookup_by_set_and_by_join_give_the_same(spark):
     d = kwic.dictionary_from(spark, {"Gen": ["Gen", "Kultur"], "P": ["of the", "der", "Mensch"], "Leer": ["zz"]})
     rows = lambda **k: sorted(map(repr, kwic.find_terms(df, d, **k).collect()))
     assert rows() == rows(most_in_set=0) and len(rows()) > 100
+
+
+def test_a_category_named_like_the_total(spark):
+    rows = [("Gesamt", "x", 1), ("Gesamt", "x", 2), ("b", "Total", 3), ("b", "y", 3)]
+    df = spark.createDataFrame(rows, "a string, b string, file int")
+    got = Counter((r.a, r.b, r.n) for r in matrix.crosstab(df, "a", "b", total="Gesamt").collect())
+    assert got["Gesamt", "x", 2] == 2 and got["Gesamt", "Gesamt", 4] == 1 and got["Gesamt", "Gesamt", 2] == 1 and sum(got.values()) == 12
+    words = spark.createDataFrame([(i, 10 * i) for i in (1, 2, 3)], "file int, word_count int")
+    out = Counter((r.a, r.b, r.n_matches, r.n_words) for r in matrix.olap_matrix(df, words, "a", "b").collect())
+    assert out["Gesamt", "x", 2, 30] == 2 and out["Gesamt", "Gesamt", 2, 30] == 1 and out["Gesamt", "Gesamt", 4, 60] == 1
+
+
+def test_files_checks(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "good.txt").write_bytes("ä".encode())
+    (tmp_path / "bad.txt").write_bytes(b"\xff\xfe")
+    read = spark.read.format("binaryFile").load(f"file://{tmp_path}/*.txt")
+    assert [r.path.rsplit("/", 1)[1] for r in quality.undecodable(read).collect()] == ["bad.txt"]
+    got = {r.path.rsplit("/", 1)[1]: r.md5 for r in files.checksums(spark, f"file://{tmp_path}/*.txt").collect()}
+    assert got == {n: hashlib.md5((tmp_path / n).read_bytes()).hexdigest() for n in ("good.txt", "bad.txt")}
+    docs = spark.createDataFrame([("Bio", "one"), ("Bio", "two"), ("Ethik", "three")], "subject string, text string")
+    files.write_text_tree(docs, f"file://{tmp_path}/tree")
+    back = spark.read.text(f"file://{tmp_path}/tree").collect()
+    assert sorted((r.subject, r.value) for r in back) == [("Bio", "one"), ("Bio", "two"), ("Ethik", "three")]

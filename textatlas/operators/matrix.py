@@ -15,18 +15,23 @@ TOTAL = "Total"
 ALL = "Alle"
 
 
+def _key(is_total: Column, value: Column) -> Column:
+    """What rows and columns are told apart by: a category that is named like the total stays one of its own."""
+    return F.struct(is_total.alias("is_total"), value.cast("string").alias("value"))
+
+
 def crosstab(df: DataFrame, a: str, b: str, dedup: list[str] | None = None, total: str = TOTAL) -> DataFrame:
     """a, b, n (long): counts of every pair that occurs and 0 for the others, the marginals and the grand total.
 
-    dedup: columns whose distinct combinations are counted instead of rows. Rows with a null in a or b don't count."""
+    dedup: columns whose distinct combinations are counted instead of rows. Rows with a null in a or b don't count. A category
+    that is named `total` has its row beside the total's."""
     rows = (df.select(*dedup).distinct() if dedup else df).where(F.col(a).isNotNull() & F.col(b).isNotNull())
     cubed = rows.cube(a, b).agg(F.count("*").alias("n"), F.grouping_id().alias("g")).where("g < 3 or n > 0")
     named = cubed.select(
-        F.when(F.col("g").bitwiseAND(F.lit(2)) > 0, F.lit(total)).otherwise(F.col(a).cast("string")).alias(a),
-        F.when(F.col("g").bitwiseAND(F.lit(1)) > 0, F.lit(total)).otherwise(F.col(b).cast("string")).alias(b),
+        *[_key(flag := F.col("g").bitwiseAND(F.lit(bit)) > 0, F.when(flag, F.lit(total)).otherwise(F.col(c).cast("string"))).alias(c) for c, bit in ((a, 2), (b, 1))],
         "n",
     )
-    return zero_filled(named, a, b, "n")
+    return zero_filled(named, a, b, "n").select(F.col(f"{a}.value").alias(a), F.col(f"{b}.value").alias(b), "n")
 
 
 def zero_filled(cells: DataFrame, a: str, b: str, value: str) -> DataFrame:
@@ -87,8 +92,8 @@ def olap_matrix(
     value: the count, or matches per per_words words, rounded to 2 places. The words are those of the distinct files
     with a match in the cell, row, column or table, so totals are computed anew and not summed. filters: column ->
     value, "Alle" filters nothing. word_counts(file, word_count): with repeated files the largest counts, missing files
-    count 0 words. Null and empty values of a or b make no row or column, but count in the totals they belong to. Without
-    a match there are no rows.
+    count 0 words. Null and empty values of a or b make no row or column, but count in the totals they belong to; a value
+    that is named like `total` is a row or column of its own. Without a match there are no rows.
 
     One pass: each (a, b, file) pair goes to its cell, row, column and the table, and distinct files are summed there, so
     that no task sees more than partial sums of a group."""
@@ -103,17 +108,17 @@ def olap_matrix(
     pairs = pairs.join(words, file, "left").select("a", "b", F.col(file).alias("f"), "n", F.coalesce("__words", F.lit(0)).alias("w"))
 
     cell = lambda x, y: F.struct(x.alias("a"), y.alias("b"))
-    every = F.lit(total)
-    sets = F.array(cell(F.col("a"), F.col("b")), cell(F.col("a"), every), cell(every, F.col("b")), cell(every, every))
+    row, column, every = _key(F.lit(False), F.col("a")), _key(F.lit(False), F.col("b")), _key(F.lit(True), F.lit(total))
+    sets = F.array(cell(row, column), cell(row, every), cell(every, column), cell(every, every))
     placed = pairs.select(F.explode(sets).alias("s"), "f", "n", "w").select("s.a", "s.b", "f", "n", "w")
-    per_file = placed.where(F.col("a").isNotNull() & F.col("b").isNotNull()).groupBy("a", "b", "f").agg(F.sum("n").alias("n"), F.max("w").alias("w"))
+    per_file = placed.where(F.col("a.value").isNotNull() & F.col("b.value").isNotNull()).groupBy("a", "b", "f").agg(F.sum("n").alias("n"), F.max("w").alias("w"))
     # the table itself, read three times below: kept, so that the search is not run again
     cells = per_file.groupBy("a", "b").agg(F.sum("n").alias("n_matches"), F.sum("w").alias("n_words")).persist()
     grid = with_every(cells.select("a").distinct(), cells, "b")
     out = grid.join(cells, ["a", "b"], "left").select("a", "b", F.coalesce("n_matches", F.lit(0)).alias("n_matches"), F.coalesce("n_words", F.lit(0)).alias("n_words"))
     value = F.col("n_matches") / F.greatest("n_words", F.lit(1)) * per_words if relative else F.col("n_matches").cast("double")
     return out.select(
-        F.col("a").alias(a), F.col("b").alias(b if b != a else b + "_2"), F.col("n_matches").cast("long").alias("n_matches"),
+        F.col("a.value").alias(a), F.col("b.value").alias(b if b != a else b + "_2"), F.col("n_matches").cast("long").alias("n_matches"),
         F.col("n_words").cast("long").alias("n_words"), F.round(value, 2).alias("value"),
     )
 

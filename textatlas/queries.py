@@ -5,6 +5,7 @@ Binding: doc_id stands for a file, source for a state, lang for a subject, embed
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -50,8 +51,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the folder all executors share; a local temporary one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="textatlas-")
+    """A new path in the folder all executors share; a local temporary one only where none is set, in local mode."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="textatlas-")
     return f"{root.rstrip('/')}/textatlas-{uuid.uuid4().hex}"
 
 
