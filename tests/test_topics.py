@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textatlas.functions import text
-from textatlas.operators import export, kwic, matrix, quality
+from textatlas.operators import cross, export, kwic, matrix, quality
 from textatlas.operators.topics import dtm, lda, scores
 from textatlas.plans import pipelines
 from textatlas.sources import files
@@ -136,3 +136,30 @@ def test_files_checks(spark, tmp_path):
     files.write_text_tree(docs, f"file://{tmp_path}/tree")
     back = spark.read.text(f"file://{tmp_path}/tree").collect()
     assert sorted((r.subject, r.value) for r in back) == [("Bio", "one"), ("Bio", "two"), ("Ethik", "three")]
+
+
+def test_mirror(spark, tmp_path):
+    for name in ("out/a.csv", "out/b.csv", "out/deep/c.csv", "d.json", "two words.txt"):
+        (tmp_path / "from" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "from" / name).write_text(name)
+    (tmp_path / "to").mkdir()
+    (tmp_path / "to/old").write_text("")
+    patterns = ["out/*.csv", "out/deep/*", "*.txt", "out/a*", "*.png", "none/*"]
+    assert files.mirror(spark, f"file://{tmp_path}/from", f"file://{tmp_path}/to", patterns) == ["*.png", "none/*"]
+    got = {str(p.relative_to(tmp_path / "to")): p.read_text() for p in (tmp_path / "to").rglob("*") if p.is_file() and p.suffix != ".crc"}
+    assert got == {x: x for x in ("out/a.csv", "out/b.csv", "out/deep/c.csv", "two words.txt")}
+    for to in ("from", "from/out", ""):
+        with pytest.raises(ValueError):
+            files.mirror(spark, f"file://{tmp_path}/from", f"file://{tmp_path}/{to}", patterns)
+    assert (tmp_path / "from/d.json").exists()
+
+
+def test_coverage(spark):
+    records = spark.createDataFrame(
+        [("A", "Bio", "BY", False), ("A", "Bio", "BY", True), ("A", None, "BW", None), ("B", None, None, False)],
+        "concept string, subject string, state string, is_outlier boolean",
+    )
+    topics = spark.createDataFrame([("A", "x"), ("A", "y"), ("A", " Total "), ("A", "Kein Thema (-1)"), ("C", "z")], "concept string, topic_name string")
+    rows = {r.concept: tuple(r)[1:] for r in cross.concept_coverage(records, topics).collect()}
+    assert rows == {"A": (3, 1, 2, 5, 2, 16, 2), "B": (1, 0, 1, 5, 1, 16, 0)}
+    assert cross.concept_coverage(records.limit(0), topics).count() == 0

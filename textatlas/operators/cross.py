@@ -31,18 +31,43 @@ def related_concepts(cooccurrence: DataFrame, k: int = 5) -> DataFrame:
     return ranked.where(F.col("rank") <= k)
 
 
+def _real_topics(topics: DataFrame) -> DataFrame:
+    name = F.trim("topic_name")
+    return topics.where(~F.lower(name).isin("gesamt", "total") & ~name.startswith("Kein Thema"))
+
+
 def coherence_topics(topics: DataFrame, k: int = 6) -> DataFrame:
     """concept, kind (bridge or siloed), rank, topic_name, entropy, topic_total from topics(concept, topic_name, entropy,
     topic_total, n_subjects): bridge topics stand in two subjects or more, by falling entropy and total; siloed ones in
     one, by falling total; ties by name. Totals and the outlier bucket are left out."""
-    name = F.trim("topic_name")
-    real = topics.where(~F.lower(name).isin("gesamt", "total") & ~name.startswith("Kein Thema") & (F.col("n_subjects") >= 1))
+    real = _real_topics(topics).where(F.col("n_subjects") >= 1)
     kind = F.when(F.col("n_subjects") >= 2, "bridge").otherwise("siloed")
     kinds = real.withColumn("kind", kind).withColumn("e", F.when(F.col("kind") == "bridge", F.col("entropy")).otherwise(F.lit(0.0)))
     w = W.partitionBy("concept", "kind").orderBy(F.desc("e"), F.desc("topic_total"), "topic_name")
     return kinds.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("concept", "kind", "rank", "topic_name", "entropy", "topic_total")
 
 
+#: How many subjects and states there are.
+SUBJECTS, STATES = 5, 16
+
+
+def concept_coverage(records: DataFrame, topics: DataFrame, subjects: int = SUBJECTS, states: int = STATES) -> DataFrame:
+    """concept, n_docs, n_outliers, n_subjects, n_subjects_total, n_states, n_states_total, n_topics: a row for each concept of
+    records(concept, subject, state, is_outlier), with its topics of topics(concept, topic_name).
+
+    Outliers count as documents and a missing subject or state as one of its own; totals and the outlier bucket are no
+    topics. Records are counted by subject and state first, so what is counted distinct are a few combinations."""
+    some = records.groupBy("concept", "subject", "state").agg(F.count("*").alias("n"), F.count_if("is_outlier").alias("o"))
+    kinds = lambda c: F.count_distinct(c) + F.max(F.col(c).isNull().cast("long"))
+    counts = some.groupBy("concept").agg(
+        F.sum("n").alias("n_docs"), F.sum("o").alias("n_outliers"),
+        kinds("subject").alias("n_subjects"), F.lit(subjects).alias("n_subjects_total"),
+        kinds("state").alias("n_states"), F.lit(states).alias("n_states_total"),
+    )
+    n_topics = _real_topics(topics).groupBy("concept").agg(F.count_distinct("topic_name").alias("n_topics"))
+    return counts.join(n_topics, "concept", "left").withColumn("n_topics", F.coalesce("n_topics", F.lit(0)).cast("long"))
+
+
 #: Steps and strengths of the layout.
 STEPS, REPULSION, ATTRACTION = 300, 0.02, 0.02
 

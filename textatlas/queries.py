@@ -131,10 +131,15 @@ def _topic_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _weights(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """A topic-term matrix without a model, the counts of terms in five documents or more, and its totals."""
+    """A topic-term matrix without a model, the counts of terms in five documents or more, and its totals.
+
+    Written once: callers read it several times, and it is as long as the vocabulary, not the corpus."""
     tokens = _topic_tokens(spark, d)
     pruned = dtm.prune(dtm.document_terms(tokens, "doc_id", "tokens"), "doc_id", 0, min_df=5, max_df=1 << 40)
     counts = pruned.join(tokens.select("doc_id", "topic"), "doc_id").groupBy((F.col("topic") + 1).alias("topic_id"), "term").agg(F.sum("n").cast("double").alias("weight"))
+    at = scratch(spark)
+    counts.write.parquet(at)
+    counts = spark.read.schema(counts.schema).parquet(at)
     return counts, counts.groupBy("term").agg(F.sum("weight").cast("long").alias("total"))
 
 
@@ -577,6 +582,15 @@ def manifest_head(spark, d):
     return m.select("concept", "n_docs", "n_outliers", F.size("subjects").cast("long").alias("n_subjects"))
 
 
+@query(f"""
+WITH {_RECORDS_SQL}, r AS (SELECT topic AS concept, * FROM records), t AS (SELECT concept, count(DISTINCT subject) AS n_topics FROM r WHERE NOT is_outlier GROUP BY concept)
+SELECT concept, count(*) AS n_docs, count(*) FILTER (WHERE is_outlier) AS n_outliers, count(DISTINCT coalesce(subject, '-')) AS n_subjects, 5 AS n_subjects_total, count(DISTINCT coalesce(state, '-')) AS n_states, 16 AS n_states_total, any_value(coalesce(n_topics, 0)) AS n_topics
+FROM r LEFT JOIN t USING (concept) GROUP BY concept""")
+def concept_coverage(spark, d):
+    r = _records(spark, d).withColumn("concept", F.col("topic"))
+    return cross.concept_coverage(r, r.where("not is_outlier").select("concept", F.col("subject").alias("topic_name")))
+
+
 @query(f"""
 WITH {_RECORDS_SQL}, c AS (SELECT grade_band, count(*) AS n FROM records WHERE NOT is_outlier GROUP BY 1)
 SELECT grade_band, n, row_number() OVER (ORDER BY CASE grade_band WHEN '1-4' THEN 1 WHEN '5-6' THEN 2 WHEN '7-8' THEN 3 WHEN '9-10' THEN 4 WHEN '11-13' THEN 5 ELSE 9 END, grade_band)::INTEGER AS place FROM c""")

@@ -141,6 +141,30 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.md5("content").alias("md5"))
 
 
+def mirror(spark: SparkSession, root: str, to: str, patterns: list[str]) -> list[str]:
+    """Replaces the folder `to` by copies of the files below root that match glob patterns such as "out/*.csv", at their places
+    below it. Returns the patterns that match nothing. One of the folders inside the other is an error. The driver copies a
+    file at a time, as streams: this is for the results that a front end shows."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs = jvm.org.apache.hadoop.fs
+
+    def opened(path: str):
+        system = fs.Path(path).getFileSystem(conf)
+        return system, system.makeQualified(fs.Path(path))
+
+    (source, base), (target, out) = opened(root), opened(to)
+    a, b = (f"{x.toString().rstrip('/')}/" for x in (base, out))
+    if a.startswith(b) or b.startswith(a):
+        raise ValueError(f"{root} and {to} overlap")
+    found = {p: [s.getPath() for s in source.globStatus(fs.Path(base, p)) or [] if s.isFile()] for p in patterns}
+    target.delete(out, True)
+    for path in {p.toString(): p for paths in found.values() for p in paths}.values():
+        at = fs.Path(out, path.toString()[len(a) :])
+        target.mkdirs(at.getParent())
+        fs.FileUtil.copy(source, path, target, at, False, True, conf)
+    return [p for p, paths in found.items() if not paths]
+
+
 def cached(spark: SparkSession, folder: str, parameters: dict, compute: Callable[[], DataFrame], force: bool = False) -> DataFrame:
     """The table of compute(), kept as Parquet under a name that depends on all parameters."""
     key = hashlib.md5(json.dumps(parameters, sort_keys=True, default=str).encode()).hexdigest()
