@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textatlas.plans.sizing import broadcast_if_small
+from textatlas.plans.sizing import local_if_small
 
 EPS = 1e-12
 
@@ -15,16 +15,23 @@ def window_counts(docs: DataFrame, doc: str, tokens: str, topics: DataFrame, win
     """topic, a, b, n: in how many sliding windows of docs(doc, tokens) the terms a and b of topics(topic, term) both stand,
     a = b included; pairs without one have no row. A text of up to `window` tokens is one window.
 
-    Only topic terms' places leave a text. A place lies in the windows that start from `window` - 1 before it up to it; the
-    starts are cut into blocks, in a block the ends of these stretches part it into runs of windows with the same terms,
-    and a run counts as often as it is long. So a group has at most block + window places, however long the text."""
+    Only topic terms' places leave a text. A place lies in the windows that start from `window` - 1 before it up to it; places
+    of a term that are at most `window` apart make one stretch of starts. The starts are cut into blocks, in a block the
+    ends of the stretches part it into runs of windows with the same terms, and a run counts as often as it is long. So a
+    group has at most block / window + 2 stretches of a term, however long the text and however frequent the term."""
+    topics = local_if_small(topics.select("topic", "term").distinct())
     places = docs.select(doc, F.size(tokens).alias("n"), F.posexplode(tokens).alias("at", "term"))
-    hits = places.join(broadcast_if_small(topics.select("topic", "term").distinct()), "term")
-    last = F.greatest(F.col("n") - window, F.lit(0))
-    low, high = F.greatest(F.col("at") - (window - 1), F.lit(0)), F.least(F.col("at"), last)
-    within = hits.select(doc, "topic", "term", low.alias("low"), high.alias("high")).withColumn(
+    hits = places.join(local_if_small(topics.select("term").distinct()), "term")
+    far = lambda a, b: F.coalesce(b - a > window, F.lit(True))
+    own = hits.groupBy(doc, "n", "term").agg(F.array_sort(F.collect_list("at")).alias("at"))
+    firsts = F.filter("at", lambda x, i: far(F.get("at", i - 1), x))
+    ends = F.filter("at", lambda x, i: far(x, F.get("at", i + 1)))
+    stretches = own.select(doc, "n", "term", F.explode(F.arrays_zip(firsts.alias("first"), ends.alias("end"))).alias("s"))
+    low, high = F.greatest(F.col("s.first") - (window - 1), F.lit(0)), F.least(F.col("s.end"), F.greatest(F.col("n") - window, F.lit(0)))
+    parted = stretches.select(doc, "term", low.alias("low"), high.alias("high")).withColumn(
         "block", F.explode(F.sequence(F.floor(F.col("low") / block), F.floor(F.col("high") / block)))
     )
+    within = parted.join(topics, "term")
     cut = F.struct(F.greatest("low", F.col("block") * block).alias("low"), F.least("high", F.col("block") * block + block - 1).alias("high"), F.col("term").alias("term"))
     own = within.groupBy(doc, "topic", "block").agg(F.collect_list(cut).alias("x"))
     ends = F.array_sort(F.array_distinct(F.concat(F.transform("x", lambda x: x["low"]), F.transform("x", lambda x: x["high"] + 1))))
@@ -43,7 +50,7 @@ def coherence_cv(docs: DataFrame, doc: str, tokens: str, topics: DataFrame, wind
 
     A word's vector holds its normalised pointwise mutual information with each word of its topic; the coherence is the
     mean cosine of the words' vectors with their sum. Words that never occur are left out of a topic."""
-    joint = window_counts(docs, doc, tokens, topics, window)
+    joint = local_if_small(window_counts(docs, doc, tokens, topics, window))
     total = docs.select(F.greatest(F.size(tokens) - window + 1, F.lit(1)).alias("k")).agg(F.sum("k")).scalar()
     single = joint.where("a = b")
     left = single.select("topic", "a", F.col("n").alias("n_a"))

@@ -22,3 +22,10 @@ def spread(df: DataFrame) -> DataFrame:
 def broadcast_if_small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
     """df with a broadcast hint if it has at most most_rows rows (counted up to that); else as it is, and joins shuffle."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+def local_if_small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
+    """df's rows as a local table with a broadcast hint, computed once, if there are at most most_rows of them (the driver takes
+    one more to tell); else df, which each reader computes again. For tables of topics and terms that are read several times."""
+    rows = df.limit(most_rows + 1).toArrow()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if rows.num_rows <= most_rows else df
