@@ -110,3 +110,14 @@ def test_relevance_at_both_ends(spark):
     rel = lda.relevance_table(t, totals)
     assert [r.term for r in lda.rerank(rel, 1.0, 1).orderBy("topic_id").collect()] == ["a", "b"]
     assert [r.term for r in lda.rerank(rel, 0.0, 1).orderBy("topic_id").collect()] == ["a", "c"]
+
+
+def test_csv_round_trip_keeps_blanks_nulls_and_marks(spark, tmp_path):
+    import oracle
+
+    from textatlas import queries
+
+    odd = ["", " lead", "trail ", "\ttab\t", "\rcr", "a\r\nb", "\n", "x\n", "\\N", "\\", '"', 'a"', '",', "  ", "\x00", "\x1f", None]
+    rows = [(i, t, None if i % 3 == 0 else "" if i % 3 == 1 else " de", None if i % 2 else " s ", 1) for i, t in enumerate(odd)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    oracle.assert_same(queries.csv_round_trip(spark, str(tmp_path)), queries.SQL["csv_round_trip"], oracle.connect(str(tmp_path)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
@@ -79,16 +80,21 @@ def write_text_tree(docs: DataFrame, path: str, subject: str = "subject", text:
     docs.select(F.col(text).alias("value"), F.col(subject).alias("subject")).write.partitionBy("subject").mode("overwrite").text(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, required: list[str] | None = None) -> DataFrame:
-    """Quoted CSV with a header and a fixed schema: empty cells stay empty texts, cells may hold newlines."""
-    df = spark.read.csv(path, schema=schema, header=True, multiLine=True, quote='"', escape='"', nullValue="\\N", emptyValue="", enforceSchema=False)
-    df = df.select(*[F.coalesce(F.col(f"`{f.name}`"), F.lit("")).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in schema])
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, required: list[str] | None = None, nullable: tuple[str, ...] = (), line_sep: str | None = None) -> DataFrame:
+    """Quoted CSV with a header and a fixed schema: empty cells stay empty texts, cells may hold newlines.
+
+    nullable: columns of texts where an empty cell is null, unless it is quoted, as write_csv() writes them. line_sep: found by the
+    reader if None."""
+    absent = f"absent-{uuid.uuid4().hex}"  # a mark that no cell holds
+    ends = {"lineSep": line_sep} if line_sep else {}
+    df = spark.read.csv(path, schema=schema, header=True, multiLine=True, quote='"', escape='"', nullValue=absent, emptyValue="", enforceSchema=False, **ends)
+    df = df.select(*[F.coalesce(F.col(f"`{f.name}`"), F.lit("")).alias(f.name) if isinstance(f.dataType, T.StringType) and f.name not in nullable else F.col(f"`{f.name}`") for f in schema])
     return require_columns(df, required or [])
 
 
 def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
-    """CSV with a header, nulls empty. one_file is for results of a few rows."""
-    (df.coalesce(1) if one_file else df).write.csv(path, header=True, quote='"', escape='"', mode="overwrite", nullValue="", emptyValue="", lineSep="\n")
+    """CSV with a header, nulls empty, empty texts quoted; blanks around a text stay. one_file is for results of a few rows."""
+    (df.coalesce(1) if one_file else df).write.csv(path, header=True, quote='"', escape='"', mode="overwrite", nullValue="", emptyValue='""', lineSep="\n", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
