@@ -172,3 +172,25 @@ def test_assignment_is_the_cheapest(n, m, rnd):
     small, cost = (n, c) if n <= m else (m, c.T)
     best = min(sum(cost[i, p[i]] for i in range(small)) for p in permutations(range(max(n, m)), small))
     assert len(got) == min(n, m) and sum(c[i, j] for i, j in got) == best
+
+
+def test_cleaning_looks_at_texts_less_often_with_the_same_results(spark):
+    from textatlas.operators import kwic
+
+    odd = ["", " a  b ", "x-\n y", "a \n\n b", "1.2.3 vier 5. a1 ²3 3", "a b c", "a\x1cb \x1d c", "Ÿber Šl – x", "ãß", "ﬁn „q“", "…. . . . z", "é́ 4́ 5", "😀 9 x", "​7 a", "tab\tx\r\ny"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "i int, t string")
+
+    def before(c):
+        s = r"[\s\x1c-\x1f]"
+        for pattern, to in ((rf"-{s}*\n{s}*", ""), (rf"\b\d+(\.\d+)*\.?(?={s}|\z)", ""), (rf"\.({s}*\.){{3,}}", ""), (rf"[^{text.LETTERS}\s\x1c-\x1f,.;:/-]", ""), (rf"{s}*\n{s}*", " "), (rf"{s}+", " ")):
+            c = F.regexp_replace(c, "(?U)" + pattern, to)
+        return F.trim(c)
+
+    normal = text.unify_dashes(text.remap_font_artifacts(F.col("t")))
+    rows = df.select(text.clean_text(F.col("t")), before(F.col("t")), text.normalize_text(F.col("t"), False), normal, text.normalize_text(F.col("t")), text._nfkc(normal)).collect()
+    for r in rows:
+        assert (r[0], r[2], r[4]) == (r[1], r[3], r[5])
+    plan = lambda d: d._jdf.queryExecution().analyzed().toString()
+    assert plan(df.select(text.clean_text(F.col("t")).alias("c"))).count("regexp_replace(") == 5
+    phrases = kwic.find_terms(df, kwic.dictionary_from(spark, {"G": ["of the"]}), text="t")
+    assert plan(phrases).count("_nfkc(") == 1  # one pass over the texts

@@ -9,6 +9,8 @@ a slice of the words.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,13 +53,31 @@ def prepared(docs: DataFrame, text: str = "text", nfkc: bool = True) -> DataFram
     return docs.select(*[c for c in docs.columns if c != text], F.array_remove(F.split(value, " "), "").alias("words"))
 
 
+def _marked(word: Column) -> Column:
+    """A word with one mark in place of each punctuation character: a split at a single mark is quick."""
+    return F.translate(word, _PUNCTUATION, "\x01" * len(_PUNCTUATION))
+
+
 def _runs(words: Column) -> Column:
     """Structs (pos, run): the runs of word characters of each word."""
-    # no regular expression for each word: punctuation becomes one mark, and a split at a single mark is quick
-    marks = F.lit("\x01")
-    return F.flatten(
-        F.transform(words, lambda w, i: F.transform(F.split(F.translate(w, _PUNCTUATION, "\x01" * len(_PUNCTUATION)), marks), lambda r: F.struct(i.alias("pos"), r.alias("run"))))
-    )
+    placed = F.transform(words, lambda w, i: F.struct(i.alias("pos"), w.alias("run")))
+    return _parted(placed)
+
+
+def _parted(placed: Column) -> Column:
+    """Structs (pos, run) of words parted into their runs."""
+    return F.flatten(F.transform(placed, lambda r: F.transform(F.split(_marked(r["run"]), F.lit("\x01")), lambda x: F.struct(r["pos"].alias("pos"), x.alias("run")))))
+
+
+def _runs_among(words: Column, wanted: list[str]) -> Column:
+    """Those of _runs() that are among `wanted` in lower case. Most words have no punctuation and are one run each: only those
+    that do, or are wanted, are parted."""
+    if not wanted:
+        return F.filter(_runs(words), lambda r: F.lit(False))
+    among = lambda x: F.lower(x).isin(wanted)
+    punctuated = lambda w: reduce(lambda a, b: a | b, [F.contains(w, F.lit(c)) for c in _PUNCTUATION])
+    placed = F.transform(words, lambda w, i: F.when(among(w) | punctuated(w), F.struct(i.alias("pos"), w.alias("run"))))
+    return F.filter(_parted(F.array_compact(placed)), lambda r: among(r["run"]))
 
 
 def _hits(base: DataFrame, keys: DataFrame, most_in_set: int) -> tuple[DataFrame, Column]:
@@ -66,8 +86,7 @@ def _hits(base: DataFrame, keys: DataFrame, most_in_set: int) -> tuple[DataFrame
     To be exploded as it is: an attribute of it would be filtered for emptiness first, and so computed twice."""
     few = keys.distinct().limit(most_in_set + 1).collect()
     if len(few) <= most_in_set:
-        wanted = [r[0] for r in few]
-        return base, F.filter(_runs(F.col("words")), lambda r: F.lower(r["run"]).isin(wanted) if wanted else F.lit(False))
+        return base, _runs_among(F.col("words"), [r[0] for r in few])
     keyed = base.withColumn("__text", F.sha2(F.array_join("words", " "), 256))
     runs = F.array_distinct(F.transform(_runs(F.col("words")), lambda r: F.lower(r["run"])))
     found = keyed.select("__text", F.explode(runs).alias("__key")).join(keys.distinct(), "__key")
@@ -83,17 +102,18 @@ def find_terms(docs: DataFrame, dictionary: DataFrame, context: int = CONTEXT_WO
     empty texts have no rows. nfkc: ligatures and other compatibility forms are matched as their plain letters."""
     base = prepared(docs, text, nfkc)
     keep = [c for c in base.columns if c != "words"]
+    several = dictionary.where(~_is_one_run(F.col("variant")))
+    phrases = None if several.isEmpty() else _rows(_phrase_hits(base, several, keep, most_in_set), keep, F.col("__pos"), context)
     single = dictionary.where(_is_one_run(F.col("variant"))).select(F.lower("variant").alias("__key"), "lemma", "lemma_ord", "variant", "variant_ord")
+    if phrases is not None and single.isEmpty():
+        return phrases  # no second pass over the texts
     texts, found = _hits(base, single.select("__key"), most_in_set)
     exploded = texts.select(*keep, "words", F.explode(found).alias("__r"))
     hits = exploded.join(broadcast_if_small(single), F.lower("__r.run") == F.col("__key")).where(
         ~_is_case_sensitive(F.col("variant")) | (F.col("__r.run") == F.col("variant"))
     )
     out = _rows(hits, keep, F.col("__r.pos"), context)
-    several = dictionary.where(~_is_one_run(F.col("variant")))
-    if several.isEmpty():
-        return out
-    return out.unionByName(_rows(_phrase_hits(base, several, keep, most_in_set), keep, F.col("__pos"), context))
+    return out if phrases is None else out.unionByName(phrases)
 
 
 def _phrase_hits(base: DataFrame, several: DataFrame, keep: list[str], most_in_set: int) -> DataFrame:
