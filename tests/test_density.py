@@ -84,3 +84,20 @@ def test_two_step_projection_and_clusters(spark):
     df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(x)], "doc_id int, embedding array<double>")
     out = clusters.density_topics(df, "embedding", 15)
     assert out.columns == ["doc_id", "embedding", "topic"] and out.where("topic >= 0").select("topic").distinct().count() == 2
+
+
+def test_placing_needs_little_memory_and_breaks_ties_by_distance():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    x, v = np.round(rng.normal(size=(2000, 3)), 1), np.round(rng.normal(size=(512, 3)), 1)
+    core, labels, held = density.core_distances(x, x, 5), np.arange(2000) % 4 - 1, np.array([0.2, 0.5, 9.0])
+    d = density._distances(v, x)
+    reach = np.maximum(np.maximum(d, np.partition(d, 4, axis=1)[:, 4][:, None]), core)
+    near = np.lexsort((d, reach), axis=1)[:, 0]
+    want = [labels[n] if labels[n] >= 0 and reach[i, n] <= held[labels[n]] * (1 + 1e-9) else -1 for i, n in enumerate(near)]
+    tracemalloc.start()
+    got = density.placed_among(v, x, labels, core, held, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.tolist() == want and peak < d.nbytes  # blocks, never all rows by all points
