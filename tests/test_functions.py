@@ -194,3 +194,43 @@ def test_cleaning_looks_at_texts_less_often_with_the_same_results(spark):
     assert plan(df.select(text.clean_text(F.col("t")).alias("c"))).count("regexp_replace(") == 5
     phrases = kwic.find_terms(df, kwic.dictionary_from(spark, {"G": ["of the"]}), text="t")
     assert plan(phrases).count("_nfkc(") == 1  # one pass over the texts
+
+
+ODD = ["", " ", None, " a  b ", "x-\n y", "1.2.3 vier 5. a1 ²3 3", "a\x1cb \x1d c\x00d", "a\xa0b c\x85d", "Ÿber Šl – x", "ãß ºª", "ﬁn „q“ ﬁ", "é́ 4́ 5", "😀 9 x\ty\r\nz", "".join(map(chr, range(0x250))), " ".join(map(chr, range(0x2000, 0x2060)))]
+
+
+def test_words_of_plain_texts_come_by_one_translation(spark):
+    from textatlas.operators import kwic
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)], "i int, text string")
+    c = text.clean_text(text.normalize_text(F.coalesce("text", F.lit(""))))
+    want = df.select("i", F.array_remove(F.split(c, " "), "").alias("words"))
+    assert sorted(kwic.prepared(df).collect()) == sorted(want.collect())
+    plain = [chr(n) for n in range(0x2100) if chr(n) in text._PLAIN_LIST]
+    one_by_one = spark.createDataFrame([(p,) for p in plain], "t string").select(text.is_plain(F.col("t")), text.normalize_text(F.col("t")) == F.col("t"))
+    assert set(one_by_one.collect()) == {(True, True)}
+
+
+def test_lookup_has_no_lambda_over_the_words(spark):
+    from textatlas.operators import kwic
+
+    df = spark.createDataFrame([(1, "Of the (of the) x/the, of the. The-of the")], "i int, text string")
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    found = kwic.find_terms(df, kwic.dictionary_from(spark, {"A": ["the", "Of"]}))
+    assert "transform(" not in plan(found) and sorted((r.match_term, r.pos) for r in found.collect()) == [("Of", n) for n in (0, 2, 5, 7)] + [("the", n) for n in (1, 3, 4, 6, 7, 8)]
+    assert "transform(words" not in plan(kwic.find_terms(df, kwic.dictionary_from(spark, {"A": ["of the"]})))
+
+
+def test_phrases_are_found_alike_by_every_lookup(spark, monkeypatch):
+    from textatlas.operators import kwic
+
+    docs = spark.createDataFrame(list(enumerate(["a a a a", "Of the, of. the of the", "ÄRA ein-Ära ein", "is in IS IN", "x 2 y ss b", "", "of-the of the"])), "i int, text string")
+    variants = ["a a", "of the", "ära ein", "is in", "x 2 y", "x y", "-the of", "OF THE", "z z"]
+    rows = lambda vs, **k: sorted(map(repr, kwic.find_terms(docs, kwic.dictionary_from(spark, {"P": vs}), **k).collect()))
+    sought = rows(variants)
+    assert len(sought) == 14
+    monkeypatch.setattr(kwic, "MOST_SOUGHT", 0)
+    assert rows(variants) == sought == rows(variants, most_in_set=0)
+    monkeypatch.undo()
+    # dotless i and long s match i and s, but aren't the same in lower case
+    assert [kwic.find_terms(docs, kwic.dictionary_from(spark, {"P": [v]})).count() for v in ("is ın", "x y ſs")] == [2, 1]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -49,16 +50,30 @@ def _nfkc(texts: pd.Series) -> pd.Series:
 NFKC_STABLE = "\x00-\x7f\u00c0-\u0131\u2018-\u201e"
 #: Of these, the ones that no step of normalize_text() changes: all but the artefact \u00e3. The other artefacts and the dashes lie outside.
 _PLAIN = "\x00-\x7f\u00c0-\u00e2\u00e4-\u0131\u2018-\u201e"
+# The plain characters one by one: those that clean_text() deletes, and the blanks.
+_PLAIN_LIST = [chr(c) for c in range(0x2100) if re.match(f"[{_PLAIN}]", chr(c))]
+_PLAIN_BLANKS = "".join(c for c in _PLAIN_LIST if re.match(r"\s", c))
+_PLAIN_DELETED = "".join(c for c in _PLAIN_LIST if not re.match(rf"[{LETTERS}\s,.;:/-]", c))
+
+
+def nfkc_changed(text: Column) -> Column:
+    """The NFKC form of a text that it may change; null for others, which Python doesn't see."""
+    return _nfkc(F.when(~text.rlike(rf"^[{NFKC_STABLE}]*\z"), text))
+
+
+def is_plain(text: Column) -> Column:
+    """Whether no step of normalize_text() changes the text, and clean_words() can go by a list of characters."""
+    return text.rlike(rf"^[{_PLAIN}]*\z")
 
 
 def normalize_text(text: Column, nfkc: bool = True) -> Column:
     """Font artefacts, then dashes, then NFKC, for which there is no native function: only texts that it may change go to
     Python. nfkc=False leaves it out. A text of plain characters only is passed on after one look."""
-    plain = text.rlike(rf"^[{_PLAIN}]*+\z")  # five times as quick as a search for another character
+    plain = is_plain(text)
     out = F.when(plain, text).otherwise(unify_dashes(remap_font_artifacts(text)))
     if not nfkc:
         return out
-    changed = _nfkc(F.when(plain, F.lit(None)).otherwise(F.when(~out.rlike(rf"^[{NFKC_STABLE}]*+\z"), out)))
+    changed = nfkc_changed(F.when(plain, F.lit(None)).otherwise(out))
     return F.when(plain, text).otherwise(F.coalesce(changed, out))
 
 
@@ -76,6 +91,16 @@ def clean_text(text: Column) -> Column:
     return F.trim(_regexp(out, rf"{_S}{{2,}}|[^\S ]|[\x1c-\x1f]", " "))
 
 
+def clean_words(text: Column, plain: Column) -> Column:
+    """The words of clean_text(text). `plain`: where is_plain(text) holds, or a condition that implies it.
+
+    A plain text's characters are few: one translation takes the place of the two last expressions of clean_text()."""
+    kept = drop_numbering(text)
+    translated = F.translate(kept, _PLAIN_BLANKS + _PLAIN_DELETED, " " * len(_PLAIN_BLANKS))
+    replaced = _regexp(_regexp(kept, rf"[^{LETTERS}\s\x1c-\x1f,.;:/-]+"), rf"{_S}+", " ")
+    return F.array_remove(F.split(F.when(plain, translated).otherwise(replaced), " "), "")
+
+
 def stripped_letters(text: Column) -> Column:
     """Sorted distinct letters that clean_text() would delete: a sign of a font-encoding fault."""
     letters = F.regexp_extract_all(drop_numbering(text), F.lit(rf"[\p{{L}}&&[^{LETTERS}]]"), F.lit(0))
