@@ -234,3 +234,11 @@ def test_phrases_are_found_alike_by_every_lookup(spark, monkeypatch):
     monkeypatch.undo()
     # dotless i and long s match i and s, but aren't the same in lower case
     assert [kwic.find_terms(docs, kwic.dictionary_from(spark, {"P": [v]})).count() for v in ("is ın", "x y ſs")] == [2, 1]
+
+
+def test_word_count_splits_and_counts_as_matches_do(spark):
+    df = spark.createDataFrame([(t,) for t in [*ODD, "\n a \x1c b\xa0c ", "a  b"]], "t string")
+    matches = F.coalesce(F.regexp_count("t", F.lit(r"(?U)[^\s\x1c-\x1f]+")), F.lit(0))
+    counted = df.select(text.word_count(F.col("t")).alias("n"), matches.alias("m"))
+    assert all(r.n == r.m for r in counted.collect())
+    assert "regexp_count" not in df.select(text.word_count(F.col("t")))._jdf.queryExecution().analyzed().toString().lower()

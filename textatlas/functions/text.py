@@ -113,7 +113,7 @@ def words(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(r"(?U)[^\s\x1c-\x1f]+")), F.lit(0)).cast("int")
+    return F.coalesce(F.size(words(text)), F.lit(0)).cast("int")  # a split is quicker than a count of matches
 
 
 def word_context(text: Column, start: Column, size: int) -> Column:
